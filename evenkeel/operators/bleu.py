@@ -12,16 +12,17 @@ from evenkeel.functions.text import bleu_tokens, ngrams
 
 
 def _grams(tokens: Column, ours: int, theirs: int) -> Column:
-    per_order = [
-        F.transform(
+    """All n-grams up to the order, marked with the side they come from."""
+
+    def marked(n: int) -> Column:
+        return F.transform(
             ngrams(tokens, n),
-            lambda g, n=n: F.struct(
-                F.lit(n).alias("n"), g.alias("gram"), F.lit(ours).alias("ours"), F.lit(theirs).alias("theirs")
+            lambda gram: F.struct(
+                F.lit(n).alias("n"), gram.alias("gram"), F.lit(ours).alias("ours"), F.lit(theirs).alias("theirs")
             ),
         )
-        for n in range(1, BLEU_ORDER + 1)
-    ]
-    return F.concat(*per_order)
+
+    return F.concat(*[marked(n) for n in range(1, BLEU_ORDER + 1)])
 
 
 def ngram_matches(
