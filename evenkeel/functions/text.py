@@ -22,7 +22,7 @@ from evenkeel.constants import (
 
 def split_words(text: Column) -> Column:
     """Words between runs of Unicode white space, case kept, none of them empty."""
-    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
 def ws_tokens(text: Column) -> Column:
@@ -31,7 +31,8 @@ def ws_tokens(text: Column) -> Column:
 
 def content_of(tokens: Column) -> Column:
     """Set of the tokens that are no stop words and longer than one character."""
-    return F.array_distinct(F.filter(tokens, lambda w: ~w.isin(STOP_WORDS) & (F.char_length(w) > 1)))
+    stop = F.expr("array('" + "', '".join(STOP_WORDS) + "')")
+    return F.filter(F.array_except(tokens, stop), lambda w: F.char_length(w) > 1)
 
 
 def content_words(text: Column) -> Column:
@@ -99,10 +100,3 @@ def bleu_tokens(text: Column) -> Column:
     for pattern, template in BLEU_RULES:
         text = F.regexp_replace(text, pattern, template)
     return split_words(text)
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, each joined by spaces."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))

@@ -8,21 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import BLEU_ORDER
-from evenkeel.functions.text import bleu_tokens, ngrams
+from evenkeel.functions.text import bleu_tokens
 
 
-def _grams(tokens: Column, ours: int, theirs: int) -> Column:
-    """All n-grams up to the order, marked with the side they come from."""
+def _tagged(tokens: str, ours: int) -> Column:
+    return F.struct(F.col(tokens).alias("tokens"), F.lit(ours).alias("ours"))
 
-    def marked(n: int) -> Column:
-        return F.transform(
-            ngrams(tokens, n),
-            lambda gram: F.struct(
-                F.lit(n).alias("n"), gram.alias("gram"), F.lit(ours).alias("ours"), F.lit(theirs).alias("theirs")
-            ),
-        )
 
-    return F.concat(*[marked(n) for n in range(1, BLEU_ORDER + 1)])
+def _neighbours(tokens: Column) -> Column:
+    """Every token with the following ones; null behind the last."""
+    ahead = [F.slice(tokens, n, F.size(tokens)).alias(f"w{n}") for n in range(1, BLEU_ORDER + 1)]
+    return F.arrays_zip(*ahead)
+
+
+def _gram(n: int) -> Column:
+    """The n-gram that starts at this token; null where the text ends before."""
+    return F.concat(*[part for i in range(1, n + 1) for part in (F.lit(" "), F.col(f"w{i}"))][1:])
 
 
 def ngram_matches(
@@ -36,20 +37,26 @@ def ngram_matches(
 
     Texts are shuffled once by pair; all n-grams of a pair are then counted where they are made, because
     grouping by (pair, n, gram) is already satisfied by that partitioning. Pairs are single texts, so no pair
-    is large, and only per-key sums leave the task.
+    is large, and only per-key sums leave the task. The number of partitions is the session's, since a size
+    taken from the texts would be far too low for their n-grams.
     """
     keys, pair_id = list(keys), list(pair_id)
     ids = list(dict.fromkeys([*keys, *pair_id]))
-    tokens = (
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = (
         pairs.select(*ids, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
-        .repartition(*ids)
+        .repartition(partitions, *ids)
         .select(*ids, bleu_tokens(F.col("_h")).alias("_h"), bleu_tokens(F.col("_r")).alias("_r"))
+        .select(*ids, F.explode(F.array(_tagged("_h", 1), _tagged("_r", 0))).alias("side"))
+        .select(*ids, F.col("side.ours").alias("_ours"), F.col("side.tokens").alias("_tokens"))
+    )
+    starts = sides.select(*ids, "_ours", F.inline_outer(_neighbours(F.col("_tokens"))))
+    grams = starts.select(
+        *ids, "_ours", F.posexplode(F.array(*[_gram(n) for n in range(1, BLEU_ORDER + 1)])).alias("_pos", "gram")
     )
-    grams = F.concat(_grams(F.col("_h"), 1, 0), _grams(F.col("_r"), 0, 1))
-    counted = (
-        tokens.select(*ids, F.explode_outer(grams).alias("g"))
-        .groupBy(*ids, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
-        .agg(F.sum("g.ours").alias("ours"), F.sum("g.theirs").alias("theirs"))
+    counted = grams.groupBy(*ids, (F.col("_pos") + 1).alias("n"), "gram").agg(
+        F.count(F.when(F.col("gram").isNotNull() & (F.col("_ours") == 1), 1)).alias("ours"),
+        F.count(F.when(F.col("gram").isNotNull() & (F.col("_ours") == 0), 1)).alias("theirs"),
     )
     return counted.groupBy(*keys, "n").agg(
         F.sum(F.least("ours", "theirs")).alias("matches"),

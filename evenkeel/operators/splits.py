@@ -42,14 +42,10 @@ def resolve_splits(df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int =
     A dataset with neither is an error. Other parts are dropped.
     """
     name = F.coalesce(F.col("split"), F.lit("train"))
-    shape = df.groupBy("dataset_id").agg(
-        F.max(name == "train").alias("_has_train"), F.max(name == "test").alias("_has_test")
-    )
-    known = F.when(F.col("_has_train"), F.col("_has_test")).otherwise(
-        F.raise_error(F.lit("dataset has no usable split"))
-    )
-    placed = attach(df.withColumn("split", name), shape, ["dataset_id"]).withColumn("_native", known)
-    placed = placed.drop("_has_train", "_has_test")
+    has_train, has_test = F.max(name == "train"), F.max(name == "test")
+    known = F.when(has_train, has_test).otherwise(F.raise_error(F.lit("dataset has no usable split")))
+    shape = df.groupBy("dataset_id").agg(known.alias("_native"))
+    placed = attach(df.withColumn("split", name), shape, ["dataset_id"])
     native = placed.where(F.col("_native") & F.col("split").isin("train", "test")).drop("_native")
     flat = placed.where(~F.col("_native") & (F.col("split") == "train")).drop("_native", "split")
     return native.unionByName(train_test_split(flat, train_ratio, seed))

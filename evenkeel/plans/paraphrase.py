@@ -16,7 +16,7 @@ from evenkeel.operators.quality import keep_valid
 from evenkeel.operators.ranking import CELL_ROWS, first_n
 from evenkeel.sinks.tables import append_generated
 from evenkeel.sources.results import read_generation_log
-from evenkeel.workspace import new_path, settle
+from evenkeel.workspace import measure, new_path, settle, within_bounds
 
 KEYS = ["dataset_id", "src_id"]
 Scorer = Callable[..., DataFrame]
@@ -87,9 +87,11 @@ def paraphrase_balance(
 
     accepted, quotas = [], []
     for pass_no in range(max_passes):
-        if remaining.isEmpty():
+        n_open, size = measure(remaining)
+        if not n_open:
             break
-        samples = attach_settled(minority, remaining.select("dataset_id"), ["dataset_id"], "left_semi")
+        fits = within_bounds(n_open, size)
+        samples = attach_settled(minority, remaining.select("dataset_id"), ["dataset_id"], "left_semi", fits=fits)
         rows = run_pass(samples, generate, score, log_path, pass_no, threshold, slices)
         accepted.append(rows)
         quotas.append(
