@@ -74,10 +74,9 @@ def distances_by_blocks(
 
     def placed(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         shaped = attach_settled(df, shape, ["dataset_id"])
+        # Fresh names, because both sides may come from one DataFrame.
         return shaped.select(
-            "dataset_id",
-            "row_id",
-            "vector",
+            *[F.col(c).alias(c) for c in ("dataset_id", "row_id", "vector")],
             F.pmod(F.xxhash64("row_id"), F.col(own)).cast("int").alias(own_block),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_block),
         )

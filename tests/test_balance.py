@@ -38,16 +38,21 @@ def test_first_seen_class_wins_a_tie(spark):
     assert profile.balance_need(df).first().minority_label == 2
 
 
-@pytest.mark.parametrize("n, n_test, n_val", [(10, 2, 1), (11, 3, 1), (5, 1, 1), (4, 1, 1), (15, 3, 1), (101, 21, 8)])
-def test_split_sizes(spark, n, n_test, n_val):
-    df = examples(spark, {"d": [i % 2 for i in range(n)]})
+SIZES = {"n10": (10, 2, 1), "n11": (11, 3, 1), "n5": (5, 1, 1), "n4": (4, 1, 1), "n15": (15, 3, 1), "n101": (101, 21, 8)}
+
+
+def test_split_sizes(spark):
+    df = examples(spark, {name: [i % 2 for i in range(n)] for name, (n, _, _) in SIZES.items()})
     parts = splits.train_test_split(df).cache()
-    assert counts(parts, "split") == {("test",): n_test, ("train",): n - n_test}
-    assert parts.select("row_id").distinct().count() == n
-    val = splits.train_val_split(parts.where("split = 'train'"))
-    assert counts(val, "part").get(("val",)) == n_val
+    n_split = counts(parts, "dataset_id", "split")
+    val = counts(splits.train_val_split(parts.where("split = 'train'")), "dataset_id", "part")
+    for name, (n, n_test, n_val) in SIZES.items():
+        assert n_split[(name, "test")] == n_test and n_split[(name, "train")] == n - n_test
+        assert val[(name, "val")] == n_val
+    assert parts.select("dataset_id", "row_id").distinct().count() == df.count()
     again = splits.train_test_split(df.repartition(7))
-    assert again.select("row_id", "split").exceptAll(parts.select("row_id", "split")).isEmpty()
+    columns = ["dataset_id", "row_id", "split"]
+    assert again.select(columns).exceptAll(parts.select(columns)).isEmpty()
 
 
 def test_resolve_splits(spark):
