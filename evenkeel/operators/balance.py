@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import SEED
 from evenkeel.functions.labels import hash_order
-from evenkeel.operators.joining import attach, attach_settled
+from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.profile import balance_need
 from evenkeel.operators.ranking import CELL_ROWS, cut_points, up_to_cut
-from evenkeel.workspace import settle
+from evenkeel.workspace import measure, settle, within_bounds
+
+# Copies of one row that one task may write in a row.
+COPY_CHUNK = 10_000
+
+
+def _repeat(rows: DataFrame, last: Column) -> DataFrame:
+    """One row per copy, numbered from ``_from`` to ``last``."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.col("_from"), last)))
 
 
 def duplicate_minority(
-    df: DataFrame, label: str = "label", order_by: str = "row_id", cell_rows: int = CELL_ROWS
+    df: DataFrame,
+    label: str = "label",
+    order_by: str = "row_id",
+    cell_rows: int = CELL_ROWS,
+    chunk: int = COPY_CHUNK,
 ) -> DataFrame:
     """Raise the rarest class of every dataset to the size of the largest by repeating its rows.
 
     Every minority row is repeated floor(needed / count) times, and the first (needed mod count) rows in
     dataset order once more. ``copy`` numbers the repetitions, 0 being the original. A dataset with one class
-    or with equal classes stays as it is. One scan writes all copies; rows are never shuffled.
+    or with equal classes stays as it is. One scan writes all copies and rows are not shuffled, unless a row is
+    to be repeated more than ``chunk`` times: then its copies are shared out over the tasks in chunks.
     """
     by = ["dataset_id"]
     need = settle(balance_need(df, by, label, order_by).where(F.col("needed") > 0), "need")
@@ -30,17 +43,27 @@ def duplicate_minority(
         F.expr("needed div minority_count").alias("_copies"),
         F.expr("needed % minority_count").alias("k"),
     )
-    rare_rows = attach_settled(df.select(*by, label, order_by), plan.select(*by, "_rare"), by).where(
-        F.col(label) == F.col("_rare")
-    )
+    n_plans, size, most = measure(plan, F.max("_copies"))
+    fits = within_bounds(n_plans, size)
+    rare_rows = attach_settled(
+        df.select(*by, label, order_by), plan.select(*by, "_rare"), by, fits=fits
+    ).where(F.col(label) == F.col("_rare"))
     order = F.col(order_by)
     cuts = cut_points(rare_rows, by, order, order, plan, cell_rows)
-    planned = attach(df, plan.drop("k").join(cuts, by, "left"), by, "left")
-    extra = F.col("_copies") + up_to_cut(order, order).cast("long")
-    copies = F.when(F.col(label) == F.col("_rare"), extra).otherwise(F.lit(0))
-    return planned.withColumn(
-        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(copies, F.lit(0)).cast("long")))
-    ).select(*df.columns, "copy")
+    lookup = settle(plan.drop("k").join(cuts, by, "left"), "plan")
+    planned = attach_settled(df, lookup, by, "left", fits=fits)
+    repeats = F.when(F.col(label) == F.col("_rare"), F.col("_copies") + up_to_cut(order, order).cast("long"))
+    planned = planned.select(*df.columns, F.coalesce(repeats, F.lit(0).cast("long")).alias("_last"))
+    start = planned.withColumn("_from", F.lit(0).cast("long"))
+    if most is None or most < chunk:
+        return _repeat(start, F.col("_last")).select(*df.columns, "copy")
+    few = _repeat(start.where(F.col("_last") < chunk), F.col("_last"))
+    pieces = F.transform(F.sequence(F.lit(0), F.expr(f"_last div {chunk}")), lambda c: c * chunk)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = planned.where(F.col("_last") >= chunk).withColumn("_from", F.explode(pieces))
+    many = many.repartition(partitions, *by, order_by, "_from")
+    many = _repeat(many, F.least(F.col("_last"), F.col("_from") + (chunk - 1)))
+    return few.select(*df.columns, "copy").unionByName(many.select(*df.columns, "copy"))
 
 
 def undersample_random(

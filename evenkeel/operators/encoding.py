@@ -55,29 +55,30 @@ def encode_fixed(
     row: Sequence[str] = ("dataset_id", "row_id"),
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask``.
+    """Replace the text by ``input_ids`` and ``attention_mask``; the other columns stay.
 
-    The vocabulary is learned from the texts unless one (token, token_id) is given, as for a test part. Ids are
-    joined to tokens with hot tokens apart from the rest, and a row's at most ``max_length`` ids are collected.
+    The vocabulary is learned from the texts unless one (token, token_id) is given, as for a test part. Texts are
+    shuffled once by row; with a vocabulary of proven small size their tokens get their ids and are put together
+    again inside that partitioning. A larger one is joined with hot tokens apart from the rest. At most
+    ``max_length`` ids of one row are collected.
     """
     row = list(row)
+    others = [c for c in df.columns if c not in row and c != text]
     vocabulary = learn_vocabulary(df, text) if vocabulary is None else vocabulary
     vocabulary = settle(vocabulary.select("token", "token_id"), "vocabulary")
-    tokens = df.select(
-        *row, F.posexplode(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = df.repartition(partitions, *row).select(
+        *row, *others, F.posexplode_outer(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
     )
-    ids = (
+    known = F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
+    encoded = (
         attach_settled(tokens, vocabulary, ["token"], "left")
         .groupBy(*row)
         .agg(
-            F.sort_array(
-                F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
-            ).alias("_ids")
+            *[F.first(c).alias(c) for c in others],
+            F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), known))).alias("_ids"),
         )
-        .select(*row, F.col("_ids.id").alias("_ids"))
-    )
-    encoded = df.join(ids, row, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>"))
+        .withColumn("_ids", F.col("_ids.id"))
     )
     return fixed_length(encoded, "_ids", max_length)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import MAX_INPUT_TOKENS, PROMPT_PREFIX, PROMPT_SUFFIX
-from evenkeel.functions.text import clean_generation, split_words, wrap_prompt
+from evenkeel.functions.text import build_prompt, clean_generation, split_words, wrap_prompt
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -18,7 +18,7 @@ def batch_generator(
     load: Callable[[], Callable[[list[str], list[int]], list[str]]], prompt: Column | None = None
 ) -> Generator:
     """A generator from a model: ``load()`` runs once per task and returns ``fn(prompts, passes) -> texts``."""
-    prompt = wrap_prompt(F.col("text")) if prompt is None else prompt
+    prompt = build_prompt(F.col("text")) if prompt is None else prompt
 
     def generate(samples: DataFrame) -> DataFrame:
         fields = {f.name: f.dataType.simpleString() for f in samples.schema}

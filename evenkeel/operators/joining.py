@@ -94,18 +94,32 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], names: tuple
     return named(left, names[0]).join(named(right, names[1]), keys, "full_outer")
 
 
-def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that only one side has, with flags that tell which."""
+def key_membership(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All keys with flags that tell which side has them; each side is read once."""
     keys = list(keys)
     both = left.select(*keys).distinct().withColumn("in_left", F.lit(True)).join(
         right.select(*keys).distinct().withColumn("in_right", F.lit(True)), keys, "full_outer"
     )
-    flagged = both.select(
+    return both.select(
         *keys,
         F.coalesce("in_left", F.lit(False)).alias("in_left"),
         F.coalesce("in_right", F.lit(False)).alias("in_right"),
     )
-    return flagged.where(~(F.col("in_left") & F.col("in_right")))
+
+
+def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that only one side has, with flags that tell which."""
+    return key_membership(left, right, keys).where(~(F.col("in_left") & F.col("in_right")))
+
+
+def key_sets(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Intersection, union and both differences of two key sets, named by ``kind``, from one join."""
+    in_left, in_right = F.col("in_left"), F.col("in_right")
+    kinds = F.array(
+        F.lit("either"),
+        F.when(in_left & in_right, "both").when(in_left, "left only").otherwise("right only"),
+    )
+    return key_membership(left, right, keys).select(F.explode(kinds).alias("kind"), *keys)
 
 
 def keep_complete(comparison: DataFrame, complete: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -61,8 +61,7 @@ def vector_scorer(vectors: DataFrame):
     """A map-only scorer over a settled vector table (token, vector) of checked size: texts -> F1 Column."""
     local = vectors.toPandas()
     index = {token: i for i, token in enumerate(local["token"])}
-    matrix = np.array(local["vector"].tolist(), dtype="float64")
-    matrix = unit_rows(matrix) if len(index) else np.zeros((0, 1))
+    matrix = unit_rows(np.stack(local["vector"].to_numpy()).astype("float64")) if index else np.zeros((0, 1))
     shared = vectors.sparkSession.sparkContext.broadcast((index, np.vstack([matrix, np.zeros(matrix.shape[1])])))
 
     @F.pandas_udf("double")

@@ -357,7 +357,7 @@ def near_miss_2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens, len({sql.tokens('text')}) AS n FROM documents")
 def ws_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = t.table(spark, sf, "documents").select("doc_id", txt.ws_tokens(F.col("text")).alias("tokens"))
+    tokens = t.texts(spark, sf).select("doc_id", txt.ws_tokens(F.col("text")).alias("tokens"))
     return tokens.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n"))
 
 
@@ -366,7 +366,7 @@ def ws_tokens(spark: SparkSession, sf: str) -> DataFrame:
 )
 def content_words(spark: SparkSession, sf: str) -> DataFrame:
     words = txt.content_words(F.col("text"))
-    return t.table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(words), " ").alias("words"))
+    return t.texts(spark, sf).select("doc_id", F.array_join(F.sort_array(words), " ").alias("words"))
 
 
 @query(
@@ -398,7 +398,7 @@ FROM split_texts"""
 @query(_prompt_sql())
 def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return t.table(spark, sf, "documents").select(
+    return t.texts(spark, sf).select(
         "doc_id",
         (F.size(txt.split_words(text)) > txt.prompt_budget()).alias("was_cut"),
         txt.build_prompt(text).alias("prompt"),
@@ -439,7 +439,8 @@ def _fill_sql(inner: str, outer: str) -> str:
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t.table(spark, sf, "documents").select(F.lit("docs").alias("dataset_id"), F.col("doc_id").alias("row_id"), "text")
+    key = lab.dataset_key(F.lit("lang"), F.col("lang"))
+    rows = t.texts(spark, sf).select(key.alias("dataset_id"), F.col("doc_id").alias("row_id"), "text")
     return encoding.encode_fixed(rows)
 
 
@@ -656,7 +657,7 @@ def paraphrase_balance(spark: SparkSession, sf: str) -> DataFrame:
     """The whole loop with a deterministic generator."""
     generate = hooks.expression_generator(t.varied_word_drop)
     score = matching.matcher(t.token_vectors(spark, sf))
-    balanced = paraphrase.paraphrase_balance(t.examples(spark, sf), generate, score)
+    balanced = paraphrase.paraphrase_balance(t.examples(spark, sf, t.texts(spark, sf)), generate, score)
     return balanced.select("dataset_id", "row_id", "label", "text", "pass")
 
 
@@ -766,13 +767,12 @@ def missing_timings(spark: SparkSession, sf: str) -> DataFrame:
     sql.with_tables(sql.JOB_RUNS, MEASURED, SIDES)
     + """SELECT 'both' AS kind, job_id FROM (SELECT job_id FROM base INTERSECT SELECT job_id FROM over)
 UNION ALL SELECT 'either', job_id FROM (SELECT job_id FROM base UNION SELECT job_id FROM over)
-UNION ALL SELECT 'left only', job_id FROM (SELECT job_id FROM base EXCEPT SELECT job_id FROM over)"""
+UNION ALL SELECT 'left only', job_id FROM (SELECT job_id FROM base EXCEPT SELECT job_id FROM over)
+UNION ALL SELECT 'right only', job_id FROM (SELECT job_id FROM over EXCEPT SELECT job_id FROM base)"""
 )
 def key_sets(spark: SparkSession, sf: str) -> DataFrame:
     left, right = (_measured(spark, sf, s) for s in BOTH)
-    sets = {"both": left.intersect(right), "either": left.union(right).distinct(), "left only": left.subtract(right)}
-    named = [rows.select(F.lit(kind).alias("kind"), "job_id") for kind, rows in sets.items()]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return joining.key_sets(left, right, ["job_id"])
 
 
 JOB_TABLE = """jobs AS (
@@ -934,6 +934,6 @@ def fit_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     """Classifiers per language trained on the plain and on the duplicated training part, same test part."""
     rows = settle(splits.train_test_split(t.examples(spark, sf)), "split")
     train, test = rows.where(F.col("split") == "train").drop("split"), rows.where(F.col("split") == "test").drop("split")
-    ids = [r[0] for r in rows.select("dataset_id").distinct().orderBy("dataset_id").limit(16).collect()]
+    ids = [r[0] for r in rows.select("dataset_id").distinct().orderBy("dataset_id").collect()]
     strategies = {"baseline": train, "simple_oversampling": settle(balance.duplicate_minority(train), "train")}
     return training.evaluate(strategies, test, ids)

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.labels import dataset_key
 from evenkeel.functions.text import clean_generation, split_words, ws_tokens
+from evenkeel.workspace import spread_small
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def examples(spark: SparkSession, sf: str) -> DataFrame:
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread_small(table(spark, sf, "documents"), "doc_id")
+
+
+def examples(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     """Labelled documents, one dataset per language."""
-    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    documents = table(spark, sf, "documents") if documents is None else documents
+    joined = documents.join(table(spark, sf, "labels"), "doc_id")
     return joined.select(
         dataset_key(F.lit("lang"), F.col("lang")).alias("dataset_id"),
         F.col("doc_id").alias("row_id"),
@@ -92,7 +99,7 @@ def varied_word_drop(samples: DataFrame) -> Column:
 
 def originals(spark: SparkSession, sf: str) -> DataFrame:
     """The negative examples: what paraphrases are made from."""
-    negative = examples(spark, sf).where(F.col("label") == 0)
+    negative = examples(spark, sf, texts(spark, sf)).where(F.col("label") == 0)
     return negative.withColumnRenamed("row_id", "src_id")
 
 

@@ -11,10 +11,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A table is broadcast only up to these measured sizes.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Inputs up to this size may be spread over the cores by a shuffle.
+SMALL_BYTES = 1024 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +47,22 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of one value: those of a string, eight per number, the JSON text of anything else."""
+    value, kind = F.col(field.name), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.size(value) * 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(value)))
+    return F.lit(8)
+
+
 def measure(settled: DataFrame, *extra: Column) -> tuple:
-    """Rows and text size of a settled table, then the values of further aggregates, in one job."""
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    """Rows and bytes of a settled table, then the values of further aggregates, in one job."""
+    widths = [F.coalesce(_width(f).cast("long"), F.lit(0)) for f in settled.schema]
+    size = F.coalesce(F.sum(sum(widths[1:], widths[0])), F.lit(0))
     return tuple(settled.agg(F.count(F.lit(1)), size, *extra).first())
 
 
@@ -55,5 +71,18 @@ def within_bounds(rows: int, size: int, max_rows: int = BROADCAST_ROWS, max_size
 
 
 def fits_broadcast(settled: DataFrame, max_rows: int = BROADCAST_ROWS, max_size: int = BROADCAST_BYTES) -> bool:
-    """True when both the measured rows and the measured text size of a settled table are within bounds."""
+    """True when both the measured rows and the measured bytes of a settled table are within bounds."""
     return within_bounds(*measure(settled), max_rows, max_size)
+
+
+def spread_small(df: DataFrame, *keys: str, bound: int = SMALL_BYTES) -> DataFrame:
+    """Hash a small input over all cores when it lies in fewer files than there are cores.
+
+    A single small Parquet file is read by one task, and costly text work would stay in it. An input above the
+    bound is cut finely enough by the scan and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= bound and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *keys)
+    return df

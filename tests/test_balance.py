@@ -33,6 +33,13 @@ def test_duplicate_minority_edges(spark):
     assert out.where("copy = 0").count() == df.count()
 
 
+def test_many_copies_are_shared_out_in_chunks(spark):
+    df = examples(spark, {"a": [0] * 3 + [1] * 100, "b": [0, 0, 1], "c": [0] * 20 + [1] * 50})
+    whole = balance.duplicate_minority(df)
+    chunked = balance.duplicate_minority(df, chunk=7)
+    assert whole.exceptAll(chunked).isEmpty() and chunked.count() == whole.count() == 304
+
+
 def test_first_seen_class_wins_a_tie(spark):
     df = examples(spark, {"d": [2, 1, 1, 2, 0, 0, 0]})
     assert profile.balance_need(df).first().minority_label == 2
