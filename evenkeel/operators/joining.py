@@ -72,13 +72,6 @@ def orphans(
     return paraphrases.join(originals.select(*keys), list(keys), "left_anti")
 
 
-def pair_by_position(
-    paraphrases: DataFrame, originals: DataFrame, keys: Sequence[str] = ("dataset_id", "position")
-) -> DataFrame:
-    """Pair on equal position; the longer side is cut to the shorter because the join is inner."""
-    return pair_by_id(paraphrases, originals, keys)
-
-
 def pending(samples: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Samples that have no entry in the log yet."""
     return samples.join(log.select(*keys), list(keys), "left_anti")

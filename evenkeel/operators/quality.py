@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from evenkeel.constants import SCORE_THRESHOLD
 from evenkeel.functions.text import content_of, content_overlap, is_valid_from, length_ratio, ws_tokens
 from evenkeel.operators.bleu import corpus_bleu
+from evenkeel.operators.ranking import row_positions
+
+
+def pair_by_position(
+    paraphrases: DataFrame, originals: DataFrame, by: Sequence[str] = ("dataset_id",), order: str = "row_id"
+) -> DataFrame:
+    """Pair the i-th paraphrase of a dataset with its i-th original; the longer side is cut to the shorter.
+
+    Only ids are sorted and paired; the texts are joined to the paired ids.
+    """
+    by = list(by)
+    theirs_id = "_original_id"
+    originals = originals.withColumnsRenamed({order: theirs_id, "text": "original"})
+    ours = row_positions(paraphrases.select(*by, order), by, [order])
+    theirs = row_positions(originals.select(*by, theirs_id), by, [theirs_id])
+    paired = ours.join(theirs, [*by, "position"])
+    with_ours = paraphrases.withColumnRenamed("text", "paraphrase").join(paired, [*by, order])
+    return with_ours.join(originals.select(*by, theirs_id, "original"), [*by, theirs_id]).drop(theirs_id)
 
 
 def paraphrase_features(pairs: DataFrame, paraphrase: str = "paraphrase", original: str = "original") -> DataFrame:

@@ -205,16 +205,15 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SPLIT_RAW = """split_raw AS (
-  SELECT *, CASE dataset_id
-              WHEN 'lang/en' THEN CASE WHEN row_id % 3 = 0 THEN 'test' WHEN row_id % 7 = 0 THEN 'extra'
+  SELECT 'lang/' || lang AS dataset_id, doc_id AS row_id, quality AS label,
+         CASE lang WHEN 'en' THEN CASE WHEN source LIKE 'src1%' THEN 'test' WHEN source = 'src7' THEN 'extra'
                                        ELSE 'train' END
-              WHEN 'lang/de' THEN 'train' END AS part
-  FROM raw)"""
+                   WHEN 'de' THEN 'train' END AS part
+  FROM documents JOIN labels USING (doc_id))"""
 
 
 @query(
     sql.with_tables(
-        sql.RAW,
         SPLIT_RAW,
         """shapes AS (
   SELECT dataset_id, bool_or(coalesce(part, 'train') = 'train') AND bool_or(coalesce(part, '') = 'test') AS native
@@ -550,12 +549,14 @@ FROM asked JOIN marked USING (lang, position)"""
 )
 def positional_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All documents against the labelled ones, paired by position per language."""
-    documents = t.table(spark, sf, "documents").select(F.col("lang").alias("dataset_id"), "doc_id", "text", "n_chars")
-    marked = documents.join(t.table(spark, sf, "labels"), "doc_id", "left_semi").select("dataset_id", "doc_id", "n_chars")
-    left = ranking.row_positions(documents.drop("n_chars"), ["dataset_id"], ["doc_id"]).drop("doc_id")
-    right = ranking.row_positions(marked, ["dataset_id"], ["doc_id"]).drop("doc_id")
-    paired = joining.pair_by_position(right, left)
-    return paired.select("dataset_id", "position", F.char_length("original").cast("long").alias("original_chars"), "n_chars")
+    documents = t.table(spark, sf, "documents").select(
+        F.col("lang").alias("dataset_id"), F.col("doc_id").alias("row_id"), "text", "n_chars"
+    )
+    labelled = t.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"))
+    marked = documents.join(labelled, "row_id", "left_semi")
+    paired = quality.pair_by_position(marked, documents)
+    chars = F.char_length("original").cast("long").alias("original_chars")
+    return paired.select("dataset_id", "position", chars, "n_chars")
 
 
 @query(
@@ -649,16 +650,16 @@ def pending_generation(spark: SparkSession, sf: str) -> DataFrame:
          row_number() OVER (PARTITION BY dataset_id ORDER BY pass, src_id) AS r
   FROM scored WHERE score >= {SCORE_THRESHOLD})""",
     )
-    + """SELECT dataset_id, row_id, label, text, NULL::INT AS pass FROM raw
+    + """SELECT dataset_id, row_id, label, text, -1 AS pass FROM raw
 UNION ALL SELECT c.dataset_id, src_id, label, paraphrase, pass FROM chosen c JOIN need USING (dataset_id)
 WHERE r <= needed"""
 )
 def paraphrase_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole loop with a deterministic generator."""
+    """The whole loop with a deterministic generator; original rows have pass -1."""
     generate = hooks.expression_generator(t.varied_word_drop)
     score = matching.matcher(t.token_vectors(spark, sf))
     balanced = paraphrase.paraphrase_balance(t.examples(spark, sf, t.texts(spark, sf)), generate, score)
-    return balanced.select("dataset_id", "row_id", "label", "text", "pass")
+    return balanced.select("dataset_id", "row_id", "label", "text", F.coalesce("pass", F.lit(-1)).alias("pass"))
 
 
 # ---- Comparison of strategies ---------------------------------------------------------------------------
@@ -932,7 +933,8 @@ def lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def fit_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     """Classifiers per language trained on the plain and on the duplicated training part, same test part."""
-    rows = settle(splits.train_test_split(t.examples(spark, sf)), "split")
+    examples = training.hashed(t.examples(spark, sf, t.texts(spark, sf)))
+    rows = settle(splits.train_test_split(examples), "split")
     train, test = rows.where(F.col("split") == "train").drop("split"), rows.where(F.col("split") == "test").drop("split")
     ids = [r[0] for r in rows.select("dataset_id").distinct().orderBy("dataset_id").collect()]
     strategies = {"baseline": train, "simple_oversampling": settle(balance.duplicate_minority(train), "train")}

@@ -53,11 +53,17 @@ def event_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_examples(spark: SparkSession, sf: str) -> DataFrame:
-    """Examples with parts of their own: train and test for English, train only for German, none elsewhere."""
-    lang = F.col("dataset_id")
-    own = F.when(F.col("row_id") % 3 == 0, "test").when(F.col("row_id") % 7 == 0, "extra").otherwise("train")
-    part = F.when(lang == "lang/en", own).when(lang == "lang/de", F.lit("train"))
-    return examples(spark, sf).withColumn("split", part)
+    """Examples with parts of their own: by source for English, train only for German, none elsewhere."""
+    source = F.col("source")
+    own = F.when(source.startswith("src1"), "test").when(source == "src7", "extra").otherwise("train")
+    part = F.when(F.col("lang") == "en", own).when(F.col("lang") == "de", F.lit("train"))
+    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return joined.select(
+        dataset_key(F.lit("lang"), F.col("lang")).alias("dataset_id"),
+        F.col("doc_id").alias("row_id"),
+        F.col("quality").alias("label"),
+        part.alias("split"),
+    )
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,21 +14,29 @@ from pyspark.sql import functions as F
 from evenkeel.operators.metrics import fairness_report
 
 
-def text_classifier(features: int = 1 << 14, iterations: int = 20) -> Pipeline:
+def hashed(df: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """Replace the text by its hashed word counts.
+
+    This needs no training, so it is done once for all datasets, strategies and parts.
+    """
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+")
+    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
+    return counts.transform(words.transform(df)).drop("words", "text")
+
+
+def classifier(iterations: int = 20) -> Pipeline:
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
-            HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
             IDF(inputCol="counts", outputCol="features"),
             LogisticRegression(maxIter=iterations, regParam=0.01, labelCol="label"),
         ]
     )
 
 
-def fit(train: DataFrame, dataset_id: str, classifier: Pipeline | None = None) -> PipelineModel:
-    """Fit one dataset's classifier; Spark ML spreads the rows of every iteration over the cluster."""
-    rows = train.where(F.col("dataset_id") == dataset_id).select("text", "label")
-    return (classifier or text_classifier()).fit(rows)
+def fit(train: DataFrame, dataset_id: str, model: Pipeline | None = None) -> PipelineModel:
+    """Fit one dataset's classifier on hashed rows; Spark ML spreads the rows of every iteration."""
+    rows = train.where(F.col("dataset_id") == dataset_id).select("counts", "label")
+    return (model or classifier()).fit(rows)
 
 
 def predict(test: DataFrame, model: PipelineModel) -> DataFrame:
@@ -40,7 +48,7 @@ def predict(test: DataFrame, model: PipelineModel) -> DataFrame:
 def predict_strategies(
     train: Mapping[str, DataFrame], test: DataFrame, dataset_ids: Sequence[str]
 ) -> DataFrame:
-    """Predictions of every dataset's model under every strategy on the same baseline test rows.
+    """Predictions of every dataset's model under every strategy on the same baseline test rows, all hashed.
 
     The strategy decides on the training rows only. One model is fitted per dataset and strategy, which is the
     experiment itself; the catalogue of datasets is a short list, the rows inside are not.

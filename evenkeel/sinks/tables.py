@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evenkeel.operators.joining import attach
 
@@ -22,10 +21,10 @@ def materialise(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS) ->
     """Write the datasets that are not there yet, one folder per key; present ones stay untouched."""
     keys = list(keys)
     try:
-        present = df.sparkSession.read.parquet(root).select(*[F.col(k).cast("string") for k in keys]).distinct()
+        present = df.sparkSession.read.schema(df.schema).parquet(root).select(*keys).distinct()
         df = attach(df, present, keys, "left_anti")
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     df.write.mode("append").partitionBy(*keys).parquet(root)
 

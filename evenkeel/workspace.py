@@ -36,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/evenkeel/{label}-{uuid.uuid4().hex}"
+    """An unused path in this application's own folder, which may be removed once the application has ended."""
+    own = f"{shared_dir(spark)}/evenkeel/{spark.sparkContext.applicationId}"
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:

@@ -221,3 +221,11 @@ def test_report_on_log(spark):
     row = report_on_log(log, df, always(0.9)).first()
     assert (row.n_passes, row.acceptance_rate, row.score_mean, row.bleu_mean) == (2, 1.0, 0.9, 100.0)
     assert joining.orphans(log, df.where("src_id > 0")).count() == 2
+
+
+def test_pairs_by_position_are_cut_to_the_shorter_side(spark):
+    schema = "dataset_id string, row_id long, text string"
+    ours = spark.createDataFrame([("d", 5, "a"), ("d", 9, "b"), ("e", 1, "c")], schema)
+    theirs = spark.createDataFrame([("d", 1, "A"), ("d", 2, "B"), ("d", 3, "C"), ("f", 1, "X")], schema)
+    out = quality.pair_by_position(ours, theirs).collect()
+    assert sorted((r.paraphrase, r.original, r.position) for r in out) == [("a", "A", 0), ("b", "B", 1)]
