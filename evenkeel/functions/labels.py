@@ -56,6 +56,9 @@ def argmax_label(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+HASH_DOMAIN = (0, (1 << 60) - 1)
+
+
 def hash_order(seed: int, *parts: Column) -> Column:
     """A reproducible pseudo-random order: the first 60 bits of md5('seed:part:..').
 

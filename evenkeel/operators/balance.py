@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import SEED
-from evenkeel.functions.labels import hash_order
+from evenkeel.functions.labels import HASH_DOMAIN, hash_order
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.profile import balance_need
 from evenkeel.operators.ranking import CELL_ROWS, cut_points, up_to_cut
@@ -79,5 +79,5 @@ def undersample_random(
     quota = counts.join(need.select("dataset_id", F.col("minority_count").alias("k")), "dataset_id")
     order = hash_order(seed, F.col(row))
     by = ["dataset_id", label]
-    cuts = cut_points(df, by, order, F.col(row), quota.drop("_n"), cell_rows)
+    cuts = cut_points(df, by, order, F.col(row), quota.drop("_n"), cell_rows, HASH_DOMAIN)
     return attach_settled(df, cuts, by).where(up_to_cut(order, F.col(row))).select(*df.columns)

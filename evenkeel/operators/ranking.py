@@ -12,9 +12,10 @@ from evenkeel.operators.joining import attach_settled
 from evenkeel.workspace import measure, settle, within_bounds
 
 # A range of keys is ranked by one task only once it holds at most this many rows.
-CELL_ROWS = 1_000_000
+CELL_ROWS = 100_000
 # Every narrowing step splits a group's key range into this many cells.
 CELLS = 4096
+BOUNDS = ["_lo", "_hi", "_tie_lo", "_tie_hi"]
 
 
 def cut_points(
@@ -24,12 +25,13 @@ def cut_points(
     tie: Column,
     quota: DataFrame | Column,
     cell_rows: int = CELL_ROWS,
-    cells: int = CELLS,
+    domain: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The k-th smallest (key, tie) of each group, exactly, as a settled table (by.., cut_key, cut_tie).
 
     ``quota`` is k: an expression over the group's row count ``n``, or a table (by.., k). Groups with k <= 0
-    have no row in the result; for k >= n the cut takes every row. ``key`` is a long.
+    have no row in the result; for k >= n the cut takes every row. ``key`` is a long; ``domain`` tells the range
+    of evenly spread keys and saves a scan.
 
     Only narrow columns are read. Group sizes come from one aggregation. As long as the range that holds the
     k-th key is too large for one task, it is split into equal cells, the cells are counted with map-side
@@ -38,32 +40,18 @@ def cut_points(
     """
     by = list(by)
     narrow = rows.select(*by, key.cast("long").alias("_key"), tie.cast("long").alias("_tie"))
-    stats = narrow.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_key").alias("_lo"),
-        F.max("_key").alias("_hi"),
-        F.min("_tie").alias("_tie_lo"),
-        F.max("_tie").alias("_tie_hi"),
-    )
-    if isinstance(quota, Column):
-        state = stats.withColumn("k", quota.cast("long"))
-    else:
-        state = stats.join(quota.select(*by, F.col("k").cast("long").alias("k")), by)
-    state = settle(state.where(F.col("k") > 0), "cut-state")
-
-    whole = state.where(F.col("k") >= F.col("n")).select(
-        *by, F.col("_hi").alias("cut_key"), F.lit(None).cast("long").alias("cut_tie")
-    )
-    searched = state.where(F.col("k") < F.col("n"))
+    state = settle(_whole_groups(narrow, by, quota) if domain is None else _first_cells(narrow, by, quota, domain))
+    whole = state.where("_whole").select(*by, F.col("_hi").alias("cut_key"), F.lit(None).cast("long").alias("cut_tie"))
+    searched = state.where(~F.col("_whole")).drop("_whole")
     # Rows of one key are told apart by the tie, so a crowd of equal keys is narrowed down as well.
     can_narrow = (F.col("_hi") > F.col("_lo")) | (F.col("_tie_hi") > F.col("_tie_lo"))
     too_wide = (F.col("n") > cell_rows) & can_narrow
     # Every later table has at most one narrow row per group, too, so this measurement holds for all of them.
-    groups, size, n_wide = measure(state, F.count(F.when(too_wide & (F.col("k") < F.col("n")), 1)))
+    groups, size, n_wide = measure(state, F.count(F.when(too_wide & ~F.col("_whole"), 1)))
     fits = within_bounds(groups, size)
     while n_wide:
-        narrowed = _narrow(narrow, searched.where(too_wide), by, cells, fits)
-        searched = settle(searched.where(~too_wide).select(*narrowed.columns).unionByName(narrowed), "cut-state")
+        narrowed = _narrow(narrow, searched.where(too_wide), by, fits)
+        searched = settle(searched.where(~too_wide).select(*narrowed.columns).unionByName(narrowed))
         n_wide = searched.where(too_wide).count()
     in_order = Window.partitionBy(*by).orderBy("_key", "_tie")
     found = (
@@ -76,6 +64,55 @@ def cut_points(
     return settle(found.unionByName(whole), "cuts")
 
 
+def _with_quota(sizes: DataFrame, by: list[str], quota: DataFrame | Column) -> DataFrame:
+    if isinstance(quota, Column):
+        out = sizes.withColumn("k", quota.cast("long"))
+    else:
+        out = sizes.join(quota.select(*by, F.col("k").cast("long").alias("k")), by)
+    return out.where(F.col("k") > 0)
+
+
+def _whole_groups(narrow: DataFrame, by: list[str], quota: DataFrame | Column) -> DataFrame:
+    """The search starts with each group's own key range."""
+    stats = narrow.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("_key").alias("_lo"),
+        F.max("_key").alias("_hi"),
+        F.min("_tie").alias("_tie_lo"),
+        F.max("_tie").alias("_tie_hi"),
+    )
+    return _with_quota(stats, by, quota).withColumn("_whole", F.col("k") >= F.col("n"))
+
+
+def _first_cells(
+    narrow: DataFrame, by: list[str], quota: DataFrame | Column, domain: tuple[int, int]
+) -> DataFrame:
+    """The search starts inside a cell of the domain: sizes and cells are counted in one scan."""
+    low, high = domain
+    width = (high - low) // CELLS + 1
+    cells = narrow.groupBy(*by, _div(F.col("_key") - low, F.lit(width)).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_in_cell"), F.min("_tie").alias("_tie_lo"), F.max("_tie").alias("_tie_hi")
+    )
+    group = Window.partitionBy(*by)
+    upto = F.sum("_in_cell").over(group.orderBy("_cell"))
+    sized = cells.select("*", F.sum("_in_cell").over(group).alias("n"), upto.alias("_upto"))
+    placed = _with_quota(sized, by, quota).withColumn("_whole", F.col("k") >= F.col("n"))
+    wanted = F.least("k", "n")
+    start = F.col("_cell") * width + low
+    return placed.where(
+        (F.col("_upto") - F.col("_in_cell") < wanted) & (wanted <= F.col("_upto"))
+    ).select(
+        *by,
+        F.col("_in_cell").alias("n"),
+        start.alias("_lo"),
+        (start + (width - 1)).alias("_hi"),
+        "_tie_lo",
+        "_tie_hi",
+        (F.col("k") - F.col("_upto") + F.col("_in_cell")).alias("k"),
+        "_whole",
+    )
+
+
 def _inside() -> Column:
     return F.col("_key").between(F.col("_lo"), F.col("_hi")) & F.col("_tie").between(
         F.col("_tie_lo"), F.col("_tie_hi")
@@ -87,29 +124,29 @@ def _div(number: Column, by: Column) -> Column:
     return F.call_function("div", number, by)
 
 
-def _narrow(narrow: DataFrame, wide: DataFrame, by: list[str], cells: int, fits: bool) -> DataFrame:
+def _narrow(narrow: DataFrame, wide: DataFrame, by: list[str], fits: bool) -> DataFrame:
     """Count the cells of each group's range and keep the one cell that holds the k-th row."""
     on_key = F.col("_hi") > F.col("_lo")
     low = F.when(on_key, F.col("_lo")).otherwise(F.col("_tie_lo"))
     high = F.when(on_key, F.col("_hi")).otherwise(F.col("_tie_hi"))
-    bounds = ["_lo", "_hi", "_tie_lo", "_tie_hi", "k"]
-    ranges = wide.select(
-        *by, *bounds, on_key.alias("_on_key"), low.alias("_start"), (_div(high - low, F.lit(cells)) + 1).alias("_width")
-    )
+    width = _div(high - low, F.lit(CELLS)) + 1
+    ranges = wide.select(*by, *BOUNDS, "k", on_key.alias("_on_key"), low.alias("_start"), width.alias("_width"))
     value = F.when(F.col("_on_key"), F.col("_key")).otherwise(F.col("_tie"))
     cell = _div(value - F.col("_start"), F.col("_width"))
     counted = (
-        attach_settled(narrow, ranges, by, fits=fits)
+        attach_settled(narrow, ranges.drop("k"), by, fits=fits)
         .where(_inside())
-        .groupBy(*by, *bounds, "_on_key", "_start", "_width", cell.alias("_cell"))
+        .groupBy(*by, cell.alias("_cell"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("n")
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_cell"))
+    before = F.col("_upto") - F.col("n")
     start = F.col("_start") + F.col("_cell") * F.col("_width")
     end = start + F.col("_width") - 1
     return (
-        counted.withColumn("_before", before)
-        .where((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("n")))
+        counted.withColumn("_upto", upto)
+        .join(ranges, by)
+        .where((before < F.col("k")) & (F.col("k") <= F.col("_upto")))
         .select(
             *by,
             "n",
@@ -117,7 +154,7 @@ def _narrow(narrow: DataFrame, wide: DataFrame, by: list[str], cells: int, fits:
             F.when(F.col("_on_key"), F.least(end, "_hi")).otherwise(F.col("_hi")).alias("_hi"),
             F.when(F.col("_on_key"), F.col("_tie_lo")).otherwise(start).alias("_tie_lo"),
             F.when(F.col("_on_key"), F.col("_tie_hi")).otherwise(F.least(end, "_tie_hi")).alias("_tie_hi"),
-            (F.col("k") - F.col("_before")).alias("k"),
+            (F.col("k") - before).alias("k"),
         )
     )
 
@@ -137,9 +174,10 @@ def mark_first(
     quota: DataFrame | Column,
     flag: str = "is_first",
     cell_rows: int = CELL_ROWS,
+    domain: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Flag the first k rows of each group in the order (key, tie). The rows themselves are not shuffled."""
-    cuts = cut_points(rows, by, key, tie, quota, cell_rows)
+    cuts = cut_points(rows, by, key, tie, quota, cell_rows, domain)
     marked = attach_settled(rows, cuts, by, "left").withColumn(flag, up_to_cut(key, tie))
     return marked.drop("cut_key", "cut_tie")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import SEED, TRAIN_RATIO, VALIDATION_FRACTION
-from evenkeel.functions.labels import hash_order
+from evenkeel.functions.labels import HASH_DOMAIN, hash_order
 from evenkeel.operators.joining import attach
 from evenkeel.operators.ranking import mark_first
 
@@ -14,7 +14,7 @@ VALIDATION_SALT = "val"
 
 
 def _split(df: DataFrame, quota: Column, order: Column, row: str, chosen: str, rest: str, name: str) -> DataFrame:
-    marked = mark_first(df, ["dataset_id"], order, F.col(row), quota, "_chosen")
+    marked = mark_first(df, ["dataset_id"], order, F.col(row), quota, "_chosen", domain=HASH_DOMAIN)
     return marked.withColumn(name, F.when(F.col("_chosen"), chosen).otherwise(rest)).drop("_chosen")
 
 

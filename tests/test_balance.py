@@ -84,15 +84,16 @@ def brute_first(df, quota):
     return df.withColumn("r", F.row_number().over(order)).where(f"r <= {quota}").select("g", "id")
 
 
-@pytest.mark.parametrize("cell_rows", [10**6, 100])
-def test_cut_is_exact_for_hot_groups_and_equal_keys(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows, domain", [(10**6, None), (100, None), (100, (-(10**14), 10**15))])
+def test_cut_is_exact_for_hot_groups_and_equal_keys(spark, cell_rows, domain):
     """One group holds most rows and half of its keys are equal."""
     key = F.when(F.col("id") % 2 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**15)) - 10**14)
     df = spark.range(6000).select(F.when(F.col("id") % 9 == 0, F.col("id") % 5).otherwise(0).alias("g"), "id", key.alias("key"))
     df = df.repartition(5)
-    out = ranking.first_n(df, ["g"], F.col("key"), F.col("id"), F.floor(F.col("n") * 0.6), cell_rows)
+    quota = F.when(F.col("g") == 1, F.col("n") + 5).when(F.col("g") == 2, 0).otherwise(F.floor(F.col("n") * 0.6))
+    out = ranking.mark_first(df, ["g"], F.col("key"), F.col("id"), quota, "first", cell_rows, domain).where("first")
     size = df.groupBy("g").count()
-    expected = brute_first(df.join(size, "g"), "floor(count * 0.6)")
+    expected = brute_first(df.join(size, "g"), "case g when 1 then count when 2 then 0 else floor(count * 0.6) end")
     assert out.select("g", "id").exceptAll(expected).isEmpty() and expected.exceptAll(out.select("g", "id")).isEmpty()
 
 
