@@ -10,7 +10,7 @@ from evenkeel.functions.labels import HASH_DOMAIN, hash_order
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.profile import balance_need
 from evenkeel.operators.ranking import CELL_ROWS, cut_points, up_to_cut
-from evenkeel.workspace import measure, settle, within_bounds
+from evenkeel.workspace import measure, settle, shuffle_partitions, within_bounds
 
 # Copies of one row that one task may write in a row.
 COPY_CHUNK = 10_000
@@ -59,7 +59,7 @@ def duplicate_minority(
         return _repeat(start, F.col("_last")).select(*df.columns, "copy")
     few = _repeat(start.where(F.col("_last") < chunk), F.col("_last"))
     pieces = F.transform(F.sequence(F.lit(0), F.expr(f"_last div {chunk}")), lambda c: c * chunk)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(df.sparkSession)
     many = planned.where(F.col("_last") >= chunk).withColumn("_from", F.explode(pieces))
     many = many.repartition(partitions, *by, order_by, "_from")
     many = _repeat(many, F.least(F.col("_last"), F.col("_from") + (chunk - 1)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.constants import BLEU_ORDER
 from evenkeel.functions.text import bleu_tokens
+from evenkeel.workspace import shuffle_partitions
 
 
 def _tagged(tokens: str, ours: int) -> Column:
@@ -42,7 +43,7 @@ def ngram_matches(
     """
     keys, pair_id = list(keys), list(pair_id)
     ids = list(dict.fromkeys([*keys, *pair_id]))
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(pairs.sparkSession)
     sides = (
         pairs.select(*ids, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
         .repartition(partitions, *ids)

@@ -11,7 +11,7 @@ from evenkeel.constants import MAX_LENGTH
 from evenkeel.functions.text import ws_tokens
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.ranking import row_positions
-from evenkeel.workspace import settle
+from evenkeel.workspace import BROADCAST_ROWS, settle, shuffle_partitions
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 
@@ -54,6 +54,7 @@ def encode_fixed(
     text: str = "text",
     row: Sequence[str] = ("dataset_id", "row_id"),
     vocabulary: DataFrame | None = None,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace the text by ``input_ids`` and ``attention_mask``; the other columns stay.
 
@@ -66,13 +67,13 @@ def encode_fixed(
     others = [c for c in df.columns if c not in row and c != text]
     vocabulary = learn_vocabulary(df, text) if vocabulary is None else vocabulary
     vocabulary = settle(vocabulary.select("token", "token_id"), "vocabulary")
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(df.sparkSession)
     tokens = df.repartition(partitions, *row).select(
         *row, *others, F.posexplode_outer(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
     )
     known = F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
     encoded = (
-        attach_settled(tokens, vocabulary, ["token"], "left")
+        attach_settled(tokens, vocabulary, ["token"], "left", max_rows)
         .groupBy(*row)
         .agg(
             *[F.first(c).alias(c) for c in others],

@@ -72,3 +72,21 @@ def predict_strategies(
 
 def evaluate(train: Mapping[str, DataFrame], test: DataFrame, dataset_ids: Sequence[str]) -> DataFrame:
     return fairness_report(predict_strategies(train, test, dataset_ids))
+
+
+def run_records(
+    jobs: DataFrame, strategy: str, model_name: str, epochs: int, patience: int
+) -> DataFrame:
+    """Finished jobs (job_id, success, skipped, elapsed_seconds, error) as rows for ``upsert_runs``."""
+    return jobs.select(
+        "job_id",
+        F.lit(strategy).alias("strategy"),
+        F.lit(model_name).alias("model_name"),
+        F.lit(epochs).alias("epochs"),
+        F.lit(patience).alias("patience"),
+        "success",
+        F.round("elapsed_seconds", 1).alias("elapsed_seconds"),
+        F.lit("measured").alias("elapsed_source"),
+        "error",
+        "skipped",
+    )

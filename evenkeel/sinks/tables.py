@@ -18,7 +18,10 @@ def write_dataset(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
 
 
 def materialise(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS) -> None:
-    """Write the datasets that are not there yet, one folder per key; present ones stay untouched."""
+    """Write the datasets that are not there yet, one folder per key; present ones stay untouched.
+
+    Rows are rebalanced by key, so small datasets end in one file each and a huge one is split over many tasks.
+    """
     keys = list(keys)
     try:
         present = df.sparkSession.read.schema(df.schema).parquet(root).select(*keys).distinct()
@@ -26,7 +29,7 @@ def materialise(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS) ->
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    df.write.mode("append").partitionBy(*keys).parquet(root)
+    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(root)
 
 
 def append_generated(generated: DataFrame, log_path: str) -> None:

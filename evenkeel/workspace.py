@@ -41,6 +41,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for shuffles before work that multiplies the rows."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.operators import encoding, near_miss, reshape, upsert
 from evenkeel.plans.comparison import strategy_comparison, timed_comparison
 from evenkeel.plans.ingest import ingest_reviews, profile_into
+from evenkeel.plans.training import run_records
 from evenkeel.sinks.tables import materialise, write_dataset, write_report
 from evenkeel.sources import results, reviews
 
@@ -134,6 +135,14 @@ def test_run_log_precedence(spark):
     assert [tuple(r) for r in out] == [("a", True), ("b", False), ("c", True), ("d", True)]
 
 
+def test_run_records_fit_the_log(spark, tmp_path):
+    log = results.read_runs(spark, str(tmp_path / "none.json"))
+    schema = "job_id string, success boolean, skipped boolean, elapsed_seconds double, error string"
+    jobs = spark.createDataFrame([("a/b", True, False, 1.26, None), ("a/c", True, True, 0.1, None)], schema)
+    out = upsert.upsert_runs(log, run_records(jobs, "baseline", "model", 20, 5)).collect()
+    assert [tuple(r) for r in out] == [("a/b", "baseline", "model", 20, 5, True, 1.3, "measured", None)]
+
+
 def test_failed_evaluation_keeps_the_old_metrics(spark):
     old = spark.createDataFrame([("x/a", 0.5), ("y/a", 0.6)], "dataset_id string, macro_f1 double")
     new = spark.createDataFrame(
@@ -160,6 +169,11 @@ def test_comparison_is_a_full_outer_join(spark):
     pivoted = reshape.strategy_table(metrics, ["s1", "s2"], ["macro_f1", "tpr_gap"])
     expected = {("a", 0.1235, 0.1, 0.7, 0.3), ("b", None, None, 0.5, 0.2)}
     assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in pivoted.collect()} == expected
+    third = spark.createDataFrame([("c", "s3", 0.9, 0.0)], metrics.schema)
+    three = strategy_comparison(metrics.unionByName(third), ["s1", "s2", "s3"]).collect()
+    assert [(r.dataset_id, r.s1__macro_f1, r.s2__macro_f1, r.s3__macro_f1) for r in three] == [
+        ("a", 0.1235, 0.7, None), ("b", None, 0.5, None), ("c", None, None, 0.9)
+    ]
     runs = spark.createDataFrame(
         [("a", "baseline", 2.0, True, "measured"), ("a", "m", 1.0, True, "measured"), ("b", "m", 1.0, True, "measured")],
         "job_id string, strategy string, elapsed_seconds double, success boolean, elapsed_source string",
@@ -175,6 +189,8 @@ def test_encoding(spark):
     assert out[0].input_ids == [2, 3, 2, 0] and out[0].attention_mask == [1, 1, 1, 0]
     assert out[1].input_ids == [0] * 4 and out[1].attention_mask == [0] * 4
     assert out[2].input_ids == [2, 4, 5, 6] and out[2].attention_mask == [1] * 4
+    beyond = {r.row_id: r.input_ids for r in encoding.encode_fixed(df, max_length=4, max_rows=1).collect()}
+    assert beyond == {i: r.input_ids for i, r in out.items()}
     known = spark.createDataFrame([("b", 9)], "token string, token_id int")
     other = {r.row_id: r.input_ids for r in encoding.encode_fixed(df, 4, vocabulary=known).collect()}
     assert other[0] == [9, encoding.UNKNOWN, 9, 0]
