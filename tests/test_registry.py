@@ -104,3 +104,16 @@ def test_models_are_judged_on_the_same_test_rows(spark):
     assert ids["baseline"] == ids["dup"] == sorted(r.row_id for r in test.collect())
     report = {r.strategy: r.macro_f1 for r in metrics.fairness_report(out).collect()}
     assert report == {"baseline": 1.0, "dup": 1.0}
+
+
+def test_worker_functions_travel_with_the_job(tmp_path):
+    import subprocess
+    import sys
+
+    from evenkeel.operators.near_miss import selected_distances
+    from pyspark import cloudpickle
+
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps(selected_distances))
+    code = "import pickle, numpy as np; print(pickle.load(open('fn', 'rb'))(np.eye(2), np.eye(2), 1, False).sum())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "0.0", out.stderr
