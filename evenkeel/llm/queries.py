@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import language
+from evenkeel.llm import language, packing, token_files
 from evenkeel.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~held_out()), key=F.col("doc_id"))
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in the flat files that hold all documents' identifiers."""
+    index = token_files.write_token_files(table(spark, sf_dir, "documents"))
+    files = index.groupBy("path").agg(F.max("n_bytes").alias("n_bytes"))
+    counts = token_files.count_tokens(files)
+    return index.join(counts, ["path", "ordinal"]).select("doc_id", F.col("n_tokens"))
+
+
+@query()
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into rows of 2,048 identifiers."""
+    return packing.pack(table(spark, sf_dir, "documents"))
