@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import language, packing, token_files
+from evenkeel.llm import language, packing, quality, token_files
 from evenkeel.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(counts, ["path", "ordinal"]).select("doc_id", F.col("n_tokens"))
 
 
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out("key"))
+    scored = quality.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query()
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into rows of 2,048 identifiers."""
