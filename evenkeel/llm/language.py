@@ -37,37 +37,73 @@ WORD_BYTES = 48
 LETTER = re.compile(r"[^\W\d_]")
 
 
+BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+TABLE_BITS = 20
+
+
 @dataclass
 class Pieces:
-    """The vocabulary: id of each piece, and the length of the longest."""
+    """The vocabulary with a hash table that finds the pieces of many substrings at once.
 
-    ids: dict[bytes, int]
+    A substring is known by a 64-bit rolling hash; that of the vocabulary's pieces are checked to be different.
+    """
+
+    pieces: list[bytes]
     longest: int = field(init=False)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.ids), default=1)
+        self.none = len(self.pieces)
+        self.longest = max(map(len, self.pieces), default=1)
+        #: Hash of each piece; the last, which no substring has, stands for no piece.
+        self.hashes = np.zeros(self.none + 1, np.uint64)
+        for i, piece in enumerate(self.pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+            self.hashes[i] = h
+        if len(np.unique(self.hashes)) != self.none + 1:
+            raise ValueError("two pieces share a hash")
+        #: First piece of each slot, and the next piece in the same slot.
+        self.table = np.full(1 << TABLE_BITS, self.none, np.int32)
+        self.next = np.full(self.none + 1, self.none, np.int32)
+        for i, slot in enumerate((self.hashes[:-1] * MIX >> np.uint64(64 - TABLE_BITS)).tolist()):
+            self.next[i] = self.table[slot]
+            self.table[slot] = i
 
     @classmethod
     def load(cls, path: str) -> Pieces:
         with open(path, "rb") as lines:
             pieces = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
-        return cls({p: i for i, p in enumerate(dict.fromkeys([*pieces, *(bytes([b]) for b in range(256))]))})
+        return cls(list(dict.fromkeys([*pieces, *(bytes([b]) for b in range(256))])))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Id of the piece with each hash, ``none`` if there is none."""
+        wanted = np.ravel(hashes)
+        ids = self.table[wanted * MIX >> np.uint64(64 - TABLE_BITS)]
+        open_ = np.flatnonzero(self.hashes[ids] != wanted)
+        while len(open_):
+            ids[open_] = self.next[ids[open_]]
+            open_ = open_[(ids[open_] != self.none) & (self.hashes[ids[open_]] != wanted[open_])]
+        return ids.reshape(hashes.shape)
 
 
 def words_of(text: bytes) -> list[bytes]:
-    parts = text.decode("utf-8", "replace").lower().encode().split()
-    words = [b" " + w for w in parts]
-    if any(len(w) > WORD_BYTES for w in words):
+    words = [b" " + w for w in text.decode("utf-8", "replace").lower().encode().split()]
+    if max(map(len, words), default=0) > WORD_BYTES:
         words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
     return words
 
 
 def spans(words: list[bytes], pieces: Pieces) -> np.ndarray:
-    """For words of one length n: piece id of [start, start + size] at [word, start, size - 1], the vocabulary's size if none."""
-    n, none, get = len(words[0]), len(pieces.ids), pieces.ids.get
-    wide = min(n, pieces.longest)
-    found = [get(w[i : i + k], none) if i + k <= n else none for w in words for i in range(n) for k in range(1, wide + 1)]
-    return np.array(found, np.int32).reshape(len(words), n, wide)
+    """For words of one length: piece id of [start, start + size] at [size - 1, start, word], ``none`` if there is none."""
+    n = len(words[0])
+    letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+    table = np.full((min(n, pieces.longest), n, len(words)), pieces.none, np.int32)
+    hashes = np.zeros_like(letters)
+    for k in range(len(table)):
+        hashes = hashes[: n - k] * BASE + letters[k:]
+        table[k, : n - k] = pieces.find(hashes)
+    return table
 
 
 def forward(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +111,13 @@ def forward(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     ``p`` has a last row of zeros for substrings that are no piece.
     """
-    m, n, wide = table.shape
+    wide, n, m = table.shape
     alpha = np.zeros((n + 1, m, p.shape[1]))
     alpha[0] = 1.0
     log = np.zeros((m, p.shape[1]))
     for end in range(1, n + 1):
         for k in range(1, min(end, wide) + 1):
-            alpha[end] += alpha[end - k] * p[table[:, end - k, k - 1]]
+            alpha[end] += alpha[end - k] * p[table[k - 1, end - k]]
         if end % 8 == 0:  # keep long words from underflowing
             scale = alpha[end].copy()
             alpha[max(0, end - wide) : end + 1] /= scale
@@ -105,21 +141,21 @@ def expected_counts(words: list[bytes], languages: np.ndarray, counts: np.ndarra
     for places in by_length(words):
         own = np.array(places)
         lang, table = languages[own], spans([words[i] for i in places], pieces)
-        m, n, wide = table.shape
-        q = p[table, lang[:, None, None]]
-        alpha, beta = np.zeros((m, n + 1)), np.zeros((m, n + 1))
-        alpha[:, 0] = beta[:, n] = 1.0
+        wide, n, m = table.shape
+        q = p[table, lang]
+        alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+        alpha[0] = beta[n] = 1.0
         for end in range(1, n + 1):
             for k in range(1, min(end, wide) + 1):
-                alpha[:, end] += alpha[:, end - k] * q[:, end - k, k - 1]
+                alpha[end] += alpha[end - k] * q[k - 1, end - k]
         for start in range(n - 1, -1, -1):
             for k in range(1, min(n - start, wide) + 1):
-                beta[:, start] += beta[:, start + k] * q[:, start, k - 1]
-        weight = counts[own] / alpha[:, n]
+                beta[start] += beta[start + k] * q[k - 1, start]
+        weight = counts[own] / alpha[n]
         for start in range(n):
             for k in range(1, min(n - start, wide) + 1):
-                uses = weight * alpha[:, start] * q[:, start, k - 1] * beta[:, start + k]
-                np.add.at(total, (table[:, start, k - 1], lang), uses)
+                uses = weight * alpha[start] * q[k - 1, start] * beta[start + k]
+                np.add.at(total, (table[k - 1, start], lang), uses)
     total[-1] = 0
     return total
 
@@ -174,7 +210,7 @@ def fit(
 
     counted = settle(chosen.mapInArrow(count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     languages = sorted((r[0] for r in counted.select("lang").distinct().limit(max_languages + 1).collect()), key=lambda s: s.encode())
-    p = np.full((len(pieces.ids) + 1, len(languages)), 1.0 / len(pieces.ids))
+    p = np.full((pieces.none + 1, len(languages)), 1.0 / pieces.none)
     p[-1] = 0
     context = rows.sparkSession.sparkContext
     for _ in range(rounds if languages else 0):
