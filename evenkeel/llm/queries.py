@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, html_text, language, mixing, near_duplicates, packing, quality, token_files
+from evenkeel.llm import decontaminate, embeddings, html_text, language, mixing, near_duplicates, packing, quality, token_files
 from evenkeel.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +98,33 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-@query()
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+                                 ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pairs AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM parts LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query(OP5_SQL)
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose five-word shingles are alike to 0.85 or more."""
     grouped = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -114,6 +140,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(counts, ["path", "ordinal"]).select("doc_id", F.col("n_tokens"))
 
 
+OP8_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM parts LEFT JOIN counts USING (vec_id)
+"""
+
+
+@query(OP8_SQL)
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label whose cosine is 0.98 or more."""
+    grouped = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return grouped.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query()
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labelled rows that are not held out."""
