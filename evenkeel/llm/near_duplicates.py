@@ -119,7 +119,7 @@ def most_bits(threshold: float, samples: int) -> int:
 
 
 def nodes_of(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int, band_rows: int) -> DataFrame:
-    """(doc_id, n, f, keys, sketch) per row: size, fingerprint, band keys and sketch of its set."""
+    """(doc_id, t, n, f, keys, sketch) per row: hash of its text; size, fingerprint, band keys and sketch of its set."""
 
     def run(batches):
         codes, sampler = WordCodes(), Sampler(bands, band_rows)
@@ -134,16 +134,18 @@ def nodes_of(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int,
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("t"),
                         pa.array(size),
                         pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                         list_rows(pa.array(keys), np.where(size > 0, bands, 0)),
                         *(pa.array(sketch[:, i]).take(at) for i in range(SKETCH_WORDS)),
                     ],
-                    ["doc_id", "n", "f", "keys", *SIGNS],
+                    ["doc_id", "t", "n", "f", "keys", *SIGNS],
                 )
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, f binary, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
+    words = F.col(text).cast("string")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("t"), words.alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, t long, n long, f binary, keys array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -222,7 +224,7 @@ def near_duplicates(
     band_rows: int = BAND_ROWS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, n_shingles, f, component_id) of every row: size and fingerprint of its set, smallest id that links reach."""
+    """(doc_id, t, n_shingles, group, component_id) of every row: hash of its text, size of its set, its component and that one's smallest id."""
     samples, most = bands * band_rows, most_bits(threshold / 100, bands * band_rows)
     rows = settle(nodes_of(docs, doc_id, text, shingle, bands, band_rows), "shingled")
     nodes = settle(rows.where("f is not null").groupBy("f", "n", "keys", *SIGNS).agg(F.min("doc_id").alias("rep")), "nodes")
@@ -258,7 +260,34 @@ def near_duplicates(
 
     named = nodes.select("f", "rep").join(found.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(least, "component").select("f", "component_id")
-    result = rows.where("f is not null").select("doc_id", F.col("n").alias("n_shingles"), "f").join(by_node, "f")
-    empty = rows.where("f is null").select("doc_id", F.col("n").alias("n_shingles"), "f", F.col("doc_id").alias("component_id"))
+    by_node = named.join(least, "component").select("f", F.col("component").alias("group"), "component_id")
+    columns = ["doc_id", "t", F.col("n").alias("n_shingles")]
+    result = rows.where("f is not null").select(*columns, "f").join(by_node, "f").drop("f")
+    empty = rows.where("f is null").select(*columns, F.col("f").alias("group"), F.col("doc_id").alias("component_id"))
     return result.select(*empty.columns).unionByName(empty)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, but of each group only one: smallest id, then smallest hash of the text.
+
+    Rows that repeat both id and text are one document, of which one row stays. Documents without words stay.
+    """
+    grouped = near_duplicates(docs, doc_id, text, **options).where("group is not null")
+    grouped = settle(grouped.groupBy("doc_id", "t", "group", "component_id").agg(F.count(F.lit(1)).alias("rows")), "grouped")
+    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("t").alias("t"))
+    first = first.select("group", F.col("t").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("first"))
+    marked = grouped.join(first, "group").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), stays.alias("_stays"), "rows")
+    marked = settle(marked, "marked")
+    gone, repeated = marked.where("not _stays").select("_d", "_t"), settle(marked.where("_stays and rows > 1").select("_d", "_t"), "repeated")
+
+    def at(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = settle(keys, "keys")
+        hint = F.broadcast if fits_broadcast(keys) else lambda x: x
+        same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_t"))
+        return rows.join(hint(keys), same, how)
+
+    kept = at(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return at(kept, repeated, "left_anti").unionByName(at(kept, repeated, "left_semi").dropDuplicates([doc_id, text]))

@@ -204,10 +204,11 @@ def labelled_share(marked: DataFrame) -> float:
     return marked.agg(F.avg("y")).first()[0]
 
 
-def score(rows: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
-    """Rows without their text but with the probability of label 1."""
+def score(rows: DataFrame, model: QualityModel, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
+    """Rows with the probability of label 1 (a column of that name is replaced), without their text unless it is to be kept."""
     shared, slots = rows.sparkSession.sparkContext.broadcast(model), len(model.weights)
-    kept = [c for c in rows.columns if c not in (text, name)]
+    kept = [c for c in rows.columns if c != name and (keep_text or c != text)]
+    whole = rows.select(*dict.fromkeys([*kept, text]))
 
     def run(batches):
         codes = Codes()
@@ -217,4 +218,4 @@ def score(rows: DataFrame, model: QualityModel, text: str = "text", name: str =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(values, pa.float64())], [*kept, name])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema]
-    return rows.select(*kept, F.col(text)).mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))
+    return whole.mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, embeddings, html_text, language, mixing, near_duplicates, packing, quality, token_files
+from evenkeel.llm import decontaminate, embeddings, html_text, language, lines, mixing, near_duplicates, packing, quality, token_files
 from evenkeel.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(counts, ["path", "ordinal"]).select("doc_id", F.col("n_tokens"))
 
 
+@query()
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur before, exactly or nearly."""
+    return lines.deduplicate(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH RECURSIVE vectors AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
