@@ -9,7 +9,7 @@ from evenkeel.constants import SEED
 from evenkeel.functions.labels import HASH_DOMAIN, hash_order
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.profile import balance_need
-from evenkeel.operators.ranking import CELL_ROWS, cut_points, up_to_cut
+from evenkeel.operators.ranking import CELL_ROWS, exact_cuts, first_n
 from evenkeel.workspace import measure, settle, shuffle_partitions, within_bounds
 
 # Copies of one row that one task may write in a row.
@@ -45,25 +45,25 @@ def duplicate_minority(
     )
     n_plans, size, most = measure(plan, F.max("_copies"))
     fits = within_bounds(n_plans, size)
-    rare_rows = attach_settled(
-        df.select(*by, label, order_by), plan.select(*by, "_rare"), by, fits=fits
-    ).where(F.col(label) == F.col("_rare"))
-    order = F.col(order_by)
-    cuts = cut_points(rare_rows, by, order, order, plan, cell_rows)
-    lookup = settle(plan.drop("k").join(cuts, by, "left"), "plan")
-    planned = attach_settled(df, lookup, by, "left", fits=fits)
-    repeats = F.when(F.col(label) == F.col("_rare"), F.col("_copies") + up_to_cut(order, order).cast("long"))
-    planned = planned.select(*df.columns, F.coalesce(repeats, F.lit(0).cast("long")).alias("_last"))
+    columns, order = df.columns, F.col(order_by)
+    # Ordering other rows behind the minority's lets one search run over the rows as they are.
+    rare = attach_settled(df, plan.select(*by, "_rare"), by, "left", fits=fits)
+    other = F.coalesce(F.col(label) != F.col("_rare"), F.lit(True)).cast("long")
+    rare, cuts, first = exact_cuts(rare, by, other, order, plan.select(*by, "k"), cell_rows)
+    lookup = settle(plan.drop("k", "_rare").join(cuts, by, "left"), "plan")
+    planned = attach_settled(rare, lookup, by, "left", fits=fits)
+    repeats = F.when(F.col(label) == F.col("_rare"), F.col("_copies") + first.cast("long"))
+    planned = planned.select(*columns, F.coalesce(repeats, F.lit(0).cast("long")).alias("_last"))
     start = planned.withColumn("_from", F.lit(0).cast("long"))
     if most is None or most < chunk:
-        return _repeat(start, F.col("_last")).select(*df.columns, "copy")
+        return _repeat(start, F.col("_last")).select(*columns, "copy")
     few = _repeat(start.where(F.col("_last") < chunk), F.col("_last"))
     pieces = F.transform(F.sequence(F.lit(0), F.expr(f"_last div {chunk}")), lambda c: c * chunk)
-    partitions = shuffle_partitions(df.sparkSession)
+    partitions = shuffle_partitions(planned.sparkSession)
     many = planned.where(F.col("_last") >= chunk).withColumn("_from", F.explode(pieces))
     many = many.repartition(partitions, *by, order_by, "_from")
     many = _repeat(many, F.least(F.col("_last"), F.col("_from") + (chunk - 1)))
-    return few.select(*df.columns, "copy").unionByName(many.select(*df.columns, "copy"))
+    return few.select(*columns, "copy").unionByName(many.select(*columns, "copy"))
 
 
 def undersample_random(
@@ -79,5 +79,4 @@ def undersample_random(
     quota = counts.join(need.select("dataset_id", F.col("minority_count").alias("k")), "dataset_id")
     order = hash_order(seed, F.col(row))
     by = ["dataset_id", label]
-    cuts = cut_points(df, by, order, F.col(row), quota.drop("_n"), cell_rows, HASH_DOMAIN)
-    return attach_settled(df, cuts, by).where(up_to_cut(order, F.col(row))).select(*df.columns)
+    return first_n(df, by, order, F.col(row), quota.drop("_n"), cell_rows, HASH_DOMAIN)

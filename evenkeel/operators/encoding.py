@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,34 +50,35 @@ def encode_fixed(
     df: DataFrame,
     max_length: int = MAX_LENGTH,
     text: str = "text",
-    row: Sequence[str] = ("dataset_id", "row_id"),
     vocabulary: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace the text by ``input_ids`` and ``attention_mask``; the other columns stay.
 
-    The vocabulary is learned from the texts unless one (token, token_id) is given, as for a test part. Texts are
-    shuffled once by row; with a vocabulary of proven small size their tokens get their ids and are put together
+    Every row is encoded by itself, whatever ids it shares with others, as copies and paraphrases do: the rows are settled
+    with a number of their own. The vocabulary is learned from the texts unless one (token, token_id) is given, as
+    for a test part. Texts are shuffled once by row; with a vocabulary of proven small size their tokens get their ids and are put together
     again inside that partitioning. A larger one is joined with hot tokens apart from the rest. At most
     ``max_length`` ids of one row are collected.
     """
-    row = list(row)
-    others = [c for c in df.columns if c not in row and c != text]
+    others = [c for c in df.columns if c != text]
+    df = settle(df.withColumn("_row", F.monotonically_increasing_id()), "to-encode")
     vocabulary = learn_vocabulary(df, text) if vocabulary is None else vocabulary
     vocabulary = settle(vocabulary.select("token", "token_id"), "vocabulary")
     partitions = shuffle_partitions(df.sparkSession)
-    tokens = df.repartition(partitions, *row).select(
-        *row, *others, F.posexplode_outer(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
+    tokens = df.repartition(partitions, "_row").select(
+        "_row", *others, F.posexplode_outer(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
     )
     known = F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
     encoded = (
         attach_settled(tokens, vocabulary, ["token"], "left", max_rows)
-        .groupBy(*row)
+        .groupBy("_row")
         .agg(
             *[F.first(c).alias(c) for c in others],
             F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), known))).alias("_ids"),
         )
         .withColumn("_ids", F.col("_ids.id"))
+        .drop("_row")
     )
     return fixed_length(encoded, "_ids", max_length)
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.workspace import BROADCAST_ROWS, fits_broadcast, settle
@@ -41,8 +42,13 @@ def attach_settled(
     marked = rows.join(hot.withColumn("_hot", F.lit(True)), on, "left")
     hot_lookup = lookup.join(hot, on, "left_semi")
     hot_rows = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot_lookup), on, how)
-    cold_rows = marked.where(F.col("_hot").isNull()).drop("_hot").join(lookup, on, how)
-    return hot_rows.unionByName(cold_rows)
+    empty = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    cold_rows = marked.where(F.col("_hot").isNull() & ~empty).drop("_hot").join(lookup, on, how)
+    joined = hot_rows.unionByName(cold_rows)
+    if how != "left":
+        return joined
+    # A null key has no partner; such rows are kept out of the shuffle, where they would all meet.
+    return joined.unionByName(marked.where(empty).drop("_hot"), allowMissingColumns=True)
 
 
 def attach(

@@ -87,12 +87,12 @@ def vector_scorer(vectors: DataFrame):
 
 
 def matcher(vectors: DataFrame, max_rows: int = VECTOR_ROWS):
-    """A pair scorer over ``vectors`` (token string, vector array<float>), one row per token.
+    """A pair scorer over ``vectors`` (token string, vector array<float>), one row per token. A null vector is none.
 
     It adds ``score`` to pairs. A vector table of proven small size goes to the workers and the texts are not
     shuffled at all. A larger one is joined to the distinct tokens of each pair, hot tokens apart from the rest.
     """
-    vectors = settle(vectors.select("token", "vector"), "vectors")
+    vectors = settle(vectors.select("token", "vector").where("vector is not null"), "vectors")
     scorer = vector_scorer(vectors) if fits_broadcast(vectors, max_rows, VECTOR_BYTES) else None
 
     def score(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.profile import balance_need
-from evenkeel.operators.ranking import CELL_ROWS, cut_points, up_to_cut
+from evenkeel.operators.ranking import CELL_ROWS, first_n
 from evenkeel.workspace import fits_broadcast, settle
 
 # The minority is sent to the workers as a whole only up to these measured sizes.
@@ -123,8 +123,7 @@ def near_miss(
     keyed = distances.select(*by, "row_id", F.round(F.col("mean_distance") * SCALE).cast("long").alias("_far"))
     keyed = settle(keyed, "distances")
     quota = need.select(*by, F.col("minority_count").alias("k"))
-    cuts = cut_points(keyed, by, F.col("_far"), F.col("row_id"), quota, cell_rows)
-    chosen = attach_settled(keyed, cuts, by).where(up_to_cut(F.col("_far"), F.col("row_id"))).select(*by, "row_id")
+    chosen = first_n(keyed, by, F.col("_far"), F.col("row_id"), quota, cell_rows).select(*by, "row_id")
     kept_majority = marked.where(F.col(label) != F.col("_rare")).join(chosen, [*by, "row_id"], "left_semi")
     others = marked.where(F.col("_rare").isNull() | (F.col(label) == F.col("_rare")))
     return others.unionByName(kept_majority).select(*df.columns)

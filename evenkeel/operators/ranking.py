@@ -27,7 +27,9 @@ def cut_points(
     cell_rows: int = CELL_ROWS,
     domain: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The k-th smallest (key, tie) of each group, exactly, as a settled table (by.., cut_key, cut_tie).
+    """The k-th smallest (key, tie) of each group, exactly, as a settled table (by.., cut_key, cut_tie, need, have).
+
+    ``have`` rows lie at the cut and ``need`` of them belong to the first k; both are null where the cut takes every row.
 
     ``quota`` is k: an expression over the group's row count ``n``, or a table (by.., k). Groups with k <= 0
     have no row in the result; for k >= n the cut takes every row. ``key`` is a long; ``domain`` tells the range
@@ -41,7 +43,10 @@ def cut_points(
     by = list(by)
     narrow = rows.select(*by, key.cast("long").alias("_key"), tie.cast("long").alias("_tie"))
     state = settle(_whole_groups(narrow, by, quota) if domain is None else _first_cells(narrow, by, quota, domain))
-    whole = state.where("_whole").select(*by, F.col("_hi").alias("cut_key"), F.lit(None).cast("long").alias("cut_tie"))
+    nothing = F.lit(None).cast("long")
+    whole = state.where("_whole").select(
+        *by, F.col("_hi").alias("cut_key"), nothing.alias("cut_tie"), nothing.alias("need"), nothing.alias("have")
+    )
     searched = state.where(~F.col("_whole")).drop("_whole")
     # Rows of one key are told apart by the tie, so a crowd of equal keys is narrowed down as well.
     can_narrow = (F.col("_hi") > F.col("_lo")) | (F.col("_tie_hi") > F.col("_tie_lo"))
@@ -53,15 +58,22 @@ def cut_points(
         narrowed = _narrow(narrow, searched.where(too_wide), by, fits)
         searched = settle(searched.where(~too_wide).select(*narrowed.columns).unionByName(narrowed))
         n_wide = searched.where(too_wide).count()
-    in_order = Window.partitionBy(*by).orderBy("_key", "_tie")
+    # A cell of one key and tie needs no ranking, however many rows it holds.
+    at_one = searched.where(~can_narrow).select(
+        *by, F.col("_lo").alias("cut_key"), F.col("_tie_lo").alias("cut_tie"), F.col("k").alias("need"), F.col("n").alias("have")
+    )
+    group = Window.partitionBy(*by)
     found = (
-        attach_settled(narrow, searched.drop("n"), by, fits=fits)
+        attach_settled(narrow, searched.where(can_narrow).drop("n"), by, fits=fits)
         .where(_inside())
-        .withColumn("_rank", F.row_number().over(in_order))
-        .where(F.col("_rank") == F.col("k"))
-        .select(*by, F.col("_key").alias("cut_key"), F.col("_tie").alias("cut_tie"))
+        .groupBy(*by, "_key", "_tie", "k")
+        .agg(F.count(F.lit(1)).alias("have"))
+        .withColumn("_upto", F.sum("have").over(group.orderBy("_key", "_tie")))
+        .withColumn("need", F.col("k") - F.col("_upto") + F.col("have"))
+        .where((F.col("need") > 0) & (F.col("k") <= F.col("_upto")))
+        .select(*by, F.col("_key").alias("cut_key"), F.col("_tie").alias("cut_tie"), "need", "have")
     )
-    return settle(found.unionByName(whole), "cuts")
+    return settle(found.unionByName(at_one).unionByName(whole), "cuts")
 
 
 def _with_quota(sizes: DataFrame, by: list[str], quota: DataFrame | Column) -> DataFrame:
@@ -166,6 +178,35 @@ def up_to_cut(key: Column, tie: Column) -> Column:
     return F.coalesce((key < F.col("cut_key")) | at_cut, F.lit(False))
 
 
+def exact_cuts(
+    rows: DataFrame,
+    by: Sequence[str],
+    key: Column,
+    tie: Column,
+    quota: DataFrame | Column,
+    cell_rows: int = CELL_ROWS,
+    domain: tuple[int, int] | None = None,
+) -> tuple[DataFrame, DataFrame, Column]:
+    """The rows, their groups' settled cuts, and the condition for exactly the first k, once the cuts are attached.
+
+    Where rows at a cut are equal in key and tie and only some of them belong to the first k, all rows are settled with
+    a number of their own, and the same search goes on by it among the rows at the cut.
+    """
+    by = list(by)
+    cuts = cut_points(rows, by, key, tie, quota, cell_rows, domain)
+    crowded = cuts.where("have > need")
+    if crowded.isEmpty():
+        return rows, cuts, up_to_cut(key, tie)
+    numbered = settle(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    at_cut = (key.cast("long") == F.col("cut_key")) & (tie.cast("long") == F.col("cut_tie"))
+    crowd = attach_settled(numbered, settle(crowded, "crowded"), by).where(at_cut).select(*by, "_id")
+    quota = crowded.select(*by, F.col("need").alias("k"))
+    last = cut_points(crowd, by, F.col("_id"), F.col("_id"), quota, cell_rows).select(*by, F.col("cut_key").alias("cut_id"))
+    cuts = settle(cuts.join(last, by, "left"), "cuts")
+    among = ~at_cut | F.col("cut_tie").isNull() | F.col("cut_id").isNull() | (F.col("_id") <= F.col("cut_id"))
+    return numbered, cuts, up_to_cut(key, tie) & F.coalesce(among, F.lit(True))
+
+
 def mark_first(
     rows: DataFrame,
     by: Sequence[str],
@@ -176,10 +217,10 @@ def mark_first(
     cell_rows: int = CELL_ROWS,
     domain: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Flag the first k rows of each group in the order (key, tie). The rows themselves are not shuffled."""
-    cuts = cut_points(rows, by, key, tie, quota, cell_rows, domain)
-    marked = attach_settled(rows, cuts, by, "left").withColumn(flag, up_to_cut(key, tie))
-    return marked.drop("cut_key", "cut_tie")
+    """Flag exactly the first k rows of each group in the order (key, tie). The rows themselves are not shuffled."""
+    columns = rows.columns
+    rows, cuts, first = exact_cuts(rows, by, key, tie, quota, cell_rows, domain)
+    return attach_settled(rows, cuts, by, "left").select(*columns, first.alias(flag))
 
 
 def first_n(
@@ -189,9 +230,10 @@ def first_n(
     tie: Column,
     quota: DataFrame | Column,
     cell_rows: int = CELL_ROWS,
+    domain: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The first k rows of each group in the order (key, tie)."""
-    return mark_first(rows, by, key, tie, quota, "_first", cell_rows).where("_first").drop("_first")
+    """Exactly the first k rows of each group in the order (key, tie)."""
+    return mark_first(rows, by, key, tie, quota, "_first", cell_rows, domain).where("_first").drop("_first")
 
 
 def row_positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:

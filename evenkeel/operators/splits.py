@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,13 @@ from evenkeel.operators.ranking import mark_first
 VALIDATION_SALT = "val"
 
 
-def _split(df: DataFrame, quota: Column, order: Column, row: str, chosen: str, rest: str, name: str) -> DataFrame:
-    marked = mark_first(df, ["dataset_id"], order, F.col(row), quota, "_chosen", domain=HASH_DOMAIN)
+def _columns(row: str | Sequence[str]) -> list[Column]:
+    return [F.col(row)] if isinstance(row, str) else [F.col(c) for c in row]
+
+
+def _split(df: DataFrame, quota: Column, order: Column, row: str | Sequence[str], chosen: str, rest: str, name: str) -> DataFrame:
+    tie = F.col(row) if isinstance(row, str) else F.xxhash64(*row)
+    marked = mark_first(df, ["dataset_id"], order, tie, quota, "_chosen", domain=HASH_DOMAIN)
     return marked.withColumn(name, F.when(F.col("_chosen"), chosen).otherwise(rest)).drop("_chosen")
 
 
@@ -28,11 +35,15 @@ def train_test_split(
 
 
 def train_val_split(
-    train: DataFrame, fraction: float = VALIDATION_FRACTION, seed: int = SEED, row: str = "row_id"
+    train: DataFrame, fraction: float = VALIDATION_FRACTION, seed: int = SEED, row: str | Sequence[str] = "row_id"
 ) -> DataFrame:
-    """Add ``part``: max(1, floor(n * fraction)) validation rows per dataset."""
+    """Add ``part``: exactly max(1, floor(n * fraction)) validation rows per dataset.
+
+    ``row`` names the columns that tell rows apart: for a balanced part also ``copy`` or ``pass``, or else all copies of
+    a row come one after the other in the order.
+    """
     quota = F.greatest(F.lit(1), F.floor(F.round(F.col("n") * F.lit(fraction), 6)))
-    order = hash_order(seed, F.lit(VALIDATION_SALT), F.col(row))
+    order = hash_order(seed, F.lit(VALIDATION_SALT), *_columns(row))
     return _split(train, quota, order, row, "val", "train", "part")
 
 

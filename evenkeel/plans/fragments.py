@@ -142,7 +142,7 @@ token_rows AS (
   SELECT dataset_id, src_id, pass, 1, unnest({tokens('original')}) FROM {source}),
 kinds AS MATERIALIZED (
   SELECT dataset_id, src_id, pass, side, token, count(*) AS n,
-         ('0x' || substr(md5(token), 1, 4))::BIGINT % (SELECT n FROM sizes) AS vec_id
+         ('0x' || substr(md5(token), 1, 15))::BIGINT % (SELECT n FROM sizes) AS vec_id
   FROM token_rows GROUP BY ALL),
 lonely AS (
   SELECT a.* FROM kinds a ANTI JOIN kinds b

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.constants import MAX_PASSES, SCORE_THRESHOLD
@@ -22,33 +22,39 @@ KEYS = ["dataset_id", "src_id"]
 Scorer = Callable[..., DataFrame]
 
 
-def run_pass(
-    samples: DataFrame,
+def run_passes(
+    minority: DataFrame,
+    plan: DataFrame,
     generate: Generator,
     score: Scorer,
     log_path: str,
-    pass_no: int,
+    passes: tuple[int, int],
     threshold: float = SCORE_THRESHOLD,
     slices: int = 1,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Generate what the log lacks for this pass, then judge everything logged: the accepted rows, settled.
+    """Generate what the log lacks for the planned passes, then judge everything logged for them: the accepted rows, settled.
 
-    The cheap filter comes before the scorer. With ``slices`` the pending rows are logged in that many appends;
-    an interrupted pass loses no more than one of them.
+    ``plan`` has the first and last pass of every open dataset, ``passes`` the first and last of all. The cheap filter
+    comes before the scorer. With ``slices`` the pending rows are logged in that many appends; an interruption
+    loses no more than one of them.
     """
-    spark = samples.sparkSession
+    spark, by = minority.sparkSession, ["dataset_id"]
+    open_rows = attach_settled(minority, plan, by, fits=fits)
+    samples = open_rows.withColumn("pass", F.explode(F.sequence("first", "last"))).select(*minority.columns, "pass")
+
+    def logged() -> DataFrame:
+        return read_generation_log(spark, log_path).where(F.col("pass").between(*passes))
+
     for number in range(slices):
-        logged = read_generation_log(spark, log_path).where(F.col("pass") == pass_no)
-        todo = pending(samples, logged, KEYS).withColumn("pass", F.lit(pass_no))
+        todo = pending(samples, logged(), [*KEYS, "pass"])
         if slices > 1:
-            todo = todo.where(F.pmod(F.xxhash64(*KEYS), F.lit(slices)) == number)
+            todo = todo.where(F.pmod(F.xxhash64(*KEYS, "pass"), F.lit(slices)) == number)
         append_generated(generate(todo), log_path)
-    logged = read_generation_log(spark, log_path).where(F.col("pass") == pass_no)
-    valid = keep_valid(pair_by_id(logged, samples))
-    accepted = score(valid, KEYS).where(F.col("score") >= threshold)
-    return settle(
-        accepted.select(*KEYS, F.lit(pass_no).alias("pass"), F.col("paraphrase").alias("text"), "label"), "accepted"
-    )
+    planned = attach_settled(logged(), plan, by, fits=fits).where(F.col("pass").between(F.col("first"), F.col("last")))
+    valid = keep_valid(pair_by_id(planned.drop("first", "last"), minority))
+    accepted = score(valid, [*KEYS, "pass"]).where(F.col("score") >= threshold)
+    return settle(accepted.select(*KEYS, "pass", F.col("paraphrase").alias("text"), "label"), "accepted")
 
 
 def paraphrase_balance(
@@ -63,15 +69,19 @@ def paraphrase_balance(
 ) -> DataFrame:
     """All rows of ``df`` (dataset_id, row_id, text, label) plus the accepted paraphrases that are needed.
 
-    ``pass`` is null for original rows; ``row_id`` of a paraphrase is its source row. All datasets advance
-    together and leave the loop once they are balanced. Within a pass the rows are taken in source order. Every
-    pass is written down before it is used, so plans stay short, and the driver only learns whether a dataset
+    ``pass`` is null for original rows; ``row_id`` of a paraphrase is its source row, so (dataset_id, row_id, pass) is
+    unique. Passes are taken in order, and within a pass the rows in source order. A pass accepts at most one
+    paraphrase of each minority row, so a dataset that lacks several times its minority's rows needs as many passes
+    for certain: these run as one job, for all datasets together, and the loop goes on with what is still lacking.
+    Every round is written down before it is used, so plans stay short, and the driver only learns whether a dataset
     still lacks rows. With the same ``log_path`` an interrupted run goes on where it stopped.
     """
     spark = df.sparkSession
     log_path = log_path or new_path(spark, "generated")
     need = settle(balance_need(df).where(F.col("needed") > 0), "need")
-    remaining = need.select("dataset_id", F.col("needed").alias("remaining"))
+    remaining = need.select(
+        "dataset_id", F.col("needed").alias("remaining"), "minority_count", F.lit(0).alias("first")
+    )
     rare = attach_settled(
         df.select("dataset_id", F.col("row_id").alias("src_id"), "text", "label"),
         need.select("dataset_id", "minority_label"),
@@ -86,25 +96,29 @@ def paraphrase_balance(
         raise ValueError("the log holds paraphrases of unknown rows")
 
     accepted, quotas = [], []
-    for pass_no in range(max_passes):
-        n_open, size = measure(remaining)
+    by_pass = Window.partitionBy("dataset_id").orderBy("pass")  # at most ``max_passes`` rows a dataset
+    while True:
+        certain = F.expr("(remaining + minority_count - 1) div minority_count").cast("int")
+        last = F.least(F.lit(max_passes), F.col("first") + certain) - 1
+        plan = settle(remaining.where(F.col("first") < max_passes).withColumn("last", last), "passes")
+        n_open, size, begin, end = measure(plan, F.min("first"), F.max("last"))
         if not n_open:
             break
-        fits = within_bounds(n_open, size)
-        samples = attach_settled(minority, remaining.select("dataset_id"), ["dataset_id"], "left_semi", fits=fits)
-        rows = run_pass(samples, generate, score, log_path, pass_no, threshold, slices)
+        fits, span = within_bounds(n_open, size), plan.select("dataset_id", "first", "last")
+        rows = run_passes(minority, span, generate, score, log_path, (begin, end), threshold, slices, fits)
         accepted.append(rows)
-        quotas.append(
-            remaining.select("dataset_id", F.lit(pass_no).alias("pass"), F.col("remaining").alias("k"))
-        )
-        counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-        left = F.col("remaining") - F.coalesce("n", F.lit(0))
-        remaining = settle(
-            remaining.join(counts, "dataset_id", "left")
-            .select("dataset_id", left.alias("remaining"))
-            .where(F.col("remaining") > 0),
-            "remaining",
-        )
+        counts = rows.groupBy("dataset_id", "pass").agg(F.count(F.lit(1)).alias("n"))
+        passes = plan.withColumn("pass", F.explode(F.sequence("first", "last"))).join(counts, ["dataset_id", "pass"], "left")
+        passes = passes.withColumn("n", F.coalesce("n", F.lit(0)))
+        passes = settle(passes.withColumn("upto", F.sum("n").over(by_pass)), "passes")
+        quotas.append(passes.select("dataset_id", "pass", (F.col("remaining") - F.col("upto") + F.col("n")).alias("k")))
+        final = passes.where(F.col("pass") == F.col("last"))
+        remaining = final.select(
+            "dataset_id",
+            (F.col("remaining") - F.col("upto")).alias("remaining"),
+            "minority_count",
+            (F.col("last") + 1).alias("first"),
+        ).where(F.col("remaining") > 0)
 
     originals = df.select("dataset_id", "row_id", "text", "label", F.lit(None).cast("int").alias("pass"))
     if not accepted:

@@ -129,7 +129,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """A vector for every token of the negative examples: the embedding its hash points to."""
     embeddings = table(spark, sf, "embeddings")
-    slot = F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("long") % embeddings.count()
+    slot = F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long") % embeddings.count()
     tokens = originals(spark, sf).select(F.explode(ws_tokens(F.col("text"))).alias("token")).distinct()
     return tokens.withColumn("vec_id", slot).join(
         embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id"
