@@ -30,7 +30,7 @@ from evenkeel.llm.common import LOWER_WORDS, list_rows, text_slices
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
 #: Bytes of text that one suffix array covers.
-ARRAY_BYTES = 16 << 20
+ARRAY_BYTES = 4 << 20
 
 MATCHES = "array<struct<item_id:string,item_start:int,start:int,length:int>>"
 
@@ -166,13 +166,21 @@ def match(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     keep: tuple[str, ...] = (),
+    results: tuple[str, str] = ("n_words", "matches"),
 ) -> DataFrame:
-    """Per document: its id, the columns in ``keep``, ``n_words`` and ``matches`` (item, place there, place here, length, all in words)."""
+    """Per document: its id, the columns in ``keep``, ``n_words`` and ``matches`` (item, place there, place here, length, all in words).
+
+    ``results`` are the names of the last two.
+    """
     context = docs.sparkSession.sparkContext
     names = list(dict.fromkeys([doc_id, *keep]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
     blocks = list(benchmark_blocks(benchmark, item_id, item_text, window, block_words)) or [Items([], [], window)]
-    rows = docs.select(*names, F.col(text).cast("string").alias("_text"), F.lit(None).cast(MATCHES).alias("_matches"))
+    before = results[1] if len(blocks) == 1 else results[1] + "_"
+    # A text that is kept anyway is not sent twice.
+    words_in = text if text in names and dict(docs.dtypes)[text] == "string" else "_text"
+    own_text = [] if words_in == text else [F.col(text).cast("string").alias("_text")]
+    rows = docs.select(*names, *own_text, F.lit(None).cast(MATCHES).alias(before))
     kind = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
     for number, block in enumerate(blocks):
         shared, last = context.broadcast(block), number == len(blocks) - 1
@@ -181,7 +189,7 @@ def match(
             items = shared.value
             get = items.ids.get
             for batch in batches:
-                for part, texts in text_slices(batch, "_text", ARRAY_BYTES):
+                for part, texts in text_slices(batch, words_in, ARRAY_BYTES):
                     words = [(t or b"").translate(LOWER_WORDS).split() for t in texts]
                     size = np.array([len(w) for w in words], np.int64)
                     ids = np.fromiter((get(w, -1) for own in words for w in (*own, b"")), np.int32, int(size.sum()) + len(size))
@@ -193,15 +201,16 @@ def match(
                     )
                     lists = list_rows(values, np.bincount(found["document"], minlength=len(size)))
                     if many:
-                        before = part.column("_matches").to_pylist()
-                        lists = pa.array([(a or []) + b for a, b in zip(before, lists.to_pylist(), strict=True)], pa.list_(kind))
+                        earlier = part.column(before).to_pylist()
+                        lists = pa.array([(a or []) + b for a, b in zip(earlier, lists.to_pylist(), strict=True)], pa.list_(kind))
                     kept = [part.column(c) for c in names]
                     if last:
-                        yield pa.RecordBatch.from_arrays([*kept, pa.array(size), lists], [*names, "n_words", "matches"])
+                        yield pa.RecordBatch.from_arrays([*kept, pa.array(size), lists], [*names, *results])
                     else:
-                        yield pa.RecordBatch.from_arrays([*kept, part.column("_text"), lists], [*names, "_text", "_matches"])
+                        between = [c for c in ["_text"] if words_in == c]
+                        yield pa.RecordBatch.from_arrays([*kept, *(part.column(c) for c in between), lists], [*names, *between, before])
 
-        tail = ["n_words long", f"matches {MATCHES}"] if last else ["_text string", f"_matches {MATCHES}"]
+        tail = [f"`{results[0]}` long", f"`{results[1]}` {MATCHES}"] if last else [*(["_text string"] if own_text else []), f"`{before}` {MATCHES}"]
         rows = rows.mapInArrow(run, ", ".join(fields + tail))
     return rows
 
@@ -224,4 +233,6 @@ def hit_words(matches: str = "matches") -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
     names = tuple(docs.columns)
-    return match(docs, benchmark, doc_id=text, text=text, keep=names, **options).where(F.size("matches") == 0).select(*names)
+    free = "_" * max(map(len, names))  # no column of theirs has these names
+    matched = match(docs, benchmark, doc_id=text, text=text, keep=names, results=(free + "n", free + "m"), **options)
+    return matched.where(F.size(free + "m") == 0).select(*names)
