@@ -37,10 +37,10 @@ BINS = 1024
 CUTS = 4
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows with _k (source as a key that is never null), _size in words and _u, a hash in [0, 1)."""
+def measured(docs: DataFrame, *kept: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The columns in ``kept`` with _k (source as a key that is never null), _size in words and _u, a hash in [0, 1)."""
     return docs.select(
-        "*",
+        *kept,
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_k"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         (F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("_u"),
@@ -70,12 +70,12 @@ def rate(dual: Column, z: Column, most: int) -> Column:
 def duals(sizes: DataFrame, sources: DataFrame, most: int = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """The sources with ``mean`` and ``dual``, from the counted sizes (_k, _size, n)."""
     fits = fits_broadcast(sources)
-    share = F.col("target") / F.col("source_size")
-    start = F.when(share >= most, math.inf).when(F.col("source_size") == 0, 0.0).when(share <= 0, -math.inf)
+    share = F.try_divide("target", "source_size")
+    start = F.when(F.col("source_size") == 0, 0.0).when(share >= most, math.inf).when(share <= 0, -math.inf)
     # As if every word lay in a document of the size that the average word lies in.
-    start = start.otherwise(F.log(share * (most - 1) / (most - share)) * F.col("source_size") * F.col("mean") / F.col("squares"))
+    start = start.otherwise(F.log(share * (most - 1) / (most - share)) * F.col("mean") * F.try_divide("source_size", "squares"))
     state = settle(
-        sources.withColumn("mean", F.col("source_size") / F.col("docs"))
+        sources.withColumn("mean", F.when(F.col("source_size") == 0, 1.0).otherwise(F.col("source_size") / F.col("docs")))
         .withColumn("dual", start)
         .withColumn("low", F.lit(-math.inf))
         .withColumn("high", F.lit(math.inf))
@@ -184,14 +184,14 @@ def apply_mix(rows: DataFrame, plan: DataFrame, most: int = MOST, cuts: int = CU
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, copies) of every row."""
-    rows = settle(measured(docs.select(doc_id, text, source), doc_id, text, source).select(F.col(doc_id).alias("doc_id"), "_k", "_size", "_u"), "measured")
+    rows = settle(measured(docs, F.col(doc_id).alias("doc_id"), doc_id=doc_id, text=text, source=source), "measured")
     mixed = apply_mix(rows, plan_mix(rows, weights, most), most)
     return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "copies")
 
 
 def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows as often as the mix takes them, with their own columns only."""
-    rows = measured(docs, doc_id, text, source)
+    rows = measured(docs, F.struct(*docs.columns).alias("_row"), doc_id=doc_id, text=text, source=source)
     plan = plan_mix(settle(rows.select("_k", "_size", "_u"), "measured"), weights, most)
     copied = apply_mix(rows, plan, most).where("copies > 0")
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
