@@ -7,7 +7,6 @@ TRAIN_RATIO = 0.8
 VALIDATION_FRACTION = 0.1
 SEED = 42
 MAX_LENGTH = 256
-STRATEGIES = ["baseline", "simple_oversampling", "llm_paraphrasing", "undersampling"]
 
 # Paraphrase filters and the pass limit.
 MIN_LENGTH_RATIO = 0.25

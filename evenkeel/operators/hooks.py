@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.constants import MAX_INPUT_TOKENS, PROMPT_PREFIX, PROMPT_SUFFIX
-from evenkeel.functions.text import build_prompt, clean_generation, split_words, wrap_prompt
+from evenkeel.functions.text import build_prompt, clean_generation, wrap_prompt
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -48,46 +48,54 @@ def expression_generator(expression: Callable[[DataFrame], Column]) -> Generator
     return generate
 
 
-def rotating_word_drop(samples: DataFrame, every: int = 5) -> Column:
-    """Stand-in for a model: leaves out the words whose index plus pass number is a multiple of ``every``."""
-    return F.array_join(
-        F.filter(split_words(F.col("text")), lambda w, i: (i + F.col("pass")) % every != 0), " "
-    )
-
-
-def pair_scorer(fn: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
-    """A scorer from ``fn(paraphrases, originals) -> scores``."""
+def pair_scorer(fn: Callable[[list[str], list[str]], list[float]]) -> Callable[..., DataFrame]:
+    """A scorer from ``fn(paraphrases, originals) -> scores``, to be used wherever ``matching.matcher`` is."""
 
     @F.pandas_udf("double")
-    def score(paraphrase: pd.Series, original: pd.Series) -> pd.Series:
+    def column(paraphrase: pd.Series, original: pd.Series) -> pd.Series:
         return pd.Series(fn(paraphrase.tolist(), original.tolist()), dtype="float64")
 
+    def score(
+        pairs: DataFrame, pair_id: Sequence[str], hypothesis: str = "paraphrase", reference: str = "original"
+    ) -> DataFrame:
+        return pairs.withColumn("score", column(F.col(hypothesis), F.col(reference)))
+
     return score
 
 
-def tokenizer_hook(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
-    """A sub-word tokenizer as an expression of type array<int>."""
+def tokenizer_hook(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:
+    """A sub-word tokenizer as an expression of type array<int>.
+
+    ``load()`` runs once per task and returns ``fn(texts) -> ids`` for a batch; a null text has no ids.
+    """
 
     @F.pandas_udf("array<int>")
-    def ids(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: encode(t or ""))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for batch in batches:
+            yield pd.Series(encode(batch.fillna("").tolist()), index=batch.index, dtype="object")
 
     return ids
 
 
 def cut_prompt(
-    encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], max_tokens: int = MAX_INPUT_TOKENS
+    load: Callable[[], tuple[Callable[[list[str]], list[list[int]]], Callable[[list[list[int]]], list[str]]]],
+    max_tokens: int = MAX_INPUT_TOKENS,
 ) -> Callable[[Column], Column]:
-    """Prompt whose text is cut to the budget by a sub-word tokenizer; shorter texts stay untouched."""
+    """Prompt whose text is cut to the budget by a sub-word tokenizer; shorter texts stay untouched, null is empty.
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series) -> pd.Series:
-        budget = max_tokens - len(encode(PROMPT_PREFIX)) - len(encode(PROMPT_SUFFIX))
-
-        def fit(t):
-            ids = encode(t)
-            return decode(ids[:budget]) if len(ids) > budget else t
+    ``load()`` runs once per task and returns ``encode(texts) -> ids`` and ``decode(ids) -> texts`` for a batch.
+    """
 
-        return text.map(fit)
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = load()
+        budget = max(0, max_tokens - sum(map(len, encode([PROMPT_PREFIX, PROMPT_SUFFIX]))))
+        for batch in batches:
+            texts = batch.fillna("").tolist()
+            ids = encode(texts)
+            shortened = iter(decode([own[:budget] for own in ids if len(own) > budget]))
+            fitted = [next(shortened) if len(own) > budget else text for own, text in zip(ids, texts, strict=True)]
+            yield pd.Series(fitted, index=batch.index, dtype="object")
 
     return lambda text: wrap_prompt(cut(text))

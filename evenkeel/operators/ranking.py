@@ -243,9 +243,14 @@ def row_positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], name
     its file. Adding up the rows of the files before it gives the position; the only window runs over one row
     per file and group.
     """
+    return file_positions(settle(rows.orderBy(*by, *order), "sorted"), by, name)
+
+
+def file_positions(settled: DataFrame, by: Sequence[str], name: str = "position") -> DataFrame:
+    """0-based position of every row inside its group, in the order in which a sorted table was settled."""
     by = list(by)
-    placed = settle(rows.orderBy(*by, *order), "sorted").select(
-        *rows.columns,
+    placed = settled.select(
+        *settled.columns,
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
@@ -258,7 +263,7 @@ def row_positions(rows: DataFrame, by: Sequence[str], order: Sequence[str], name
         *by, "_file", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from")).alias("_shift")
     )
     joined = attach_settled(placed, settle(offsets, "offsets"), [*by, "_file"])
-    return joined.select(*rows.columns, (F.col("_row") + F.col("_shift")).alias(name))
+    return joined.select(*settled.columns, (F.col("_row") + F.col("_shift")).alias(name))
 
 
 def first_match(rows: DataFrame, by: Sequence[str], order: str, condition: Column, value: Column) -> DataFrame:

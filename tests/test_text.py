@@ -65,12 +65,15 @@ def test_prompt_is_cut_only_over_budget(spark):
 
 
 def test_prompt_with_a_subword_tokenizer(spark):
-    encode, decode = (lambda t: [ord(c) for c in t]), (lambda ids: "".join(map(chr, ids)))
+    def load():
+        return lambda texts: [[ord(c) for c in t] for t in texts], lambda rows: ["".join(map(chr, ids)) for ids in rows]
+
     room = len(txt.PROMPT_PREFIX) + len(txt.PROMPT_SUFFIX) + 4
-    out = evaluate(spark, ["abcdef", "abc"], cut_prompt(encode, decode, room))
+    out = evaluate(spark, ["abcdef", "abc", None], cut_prompt(load, room))
     assert out[0] == txt.PROMPT_PREFIX + "abcd" + txt.PROMPT_SUFFIX
     assert out[1] == txt.PROMPT_PREFIX + "abc" + txt.PROMPT_SUFFIX
-    assert evaluate(spark, ["ab"], tokenizer_hook(encode)) == [[97, 98]]
+    assert out[2] == txt.PROMPT_PREFIX + txt.PROMPT_SUFFIX
+    assert evaluate(spark, ["ab", None], tokenizer_hook(lambda: load()[0])) == [[97, 98], []]
 
 
 def test_generation_ends_at_the_first_stop_string(spark):
