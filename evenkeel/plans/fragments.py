@@ -95,7 +95,8 @@ REPORT = """report AS (
         FROM scores GROUP BY ALL) m USING (dataset_id, strategy))"""
 
 ORIGINALS = """originals AS (
-  SELECT dataset_id, row_id AS src_id, text, label FROM raw WHERE label = 0)"""
+  SELECT 'lang/' || lang AS dataset_id, doc_id AS src_id, text, coalesce(quality, -1) AS label
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 def spoken(passes: int) -> str:

@@ -31,9 +31,10 @@ def examples(spark: SparkSession, sf: str, documents: DataFrame | None = None) -
     )
 
 
-def all_examples(spark: SparkSession, sf: str) -> DataFrame:
+def all_examples(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     """All documents; those without a label have -1."""
-    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    documents = table(spark, sf, "documents") if documents is None else documents
+    joined = documents.join(table(spark, sf, "labels"), "doc_id", "left")
     return joined.select(
         dataset_key(F.lit("lang"), F.col("lang")).alias("dataset_id"),
         F.col("doc_id").alias("row_id"),
@@ -104,9 +105,8 @@ def varied_word_drop(samples: DataFrame) -> Column:
 
 
 def originals(spark: SparkSession, sf: str) -> DataFrame:
-    """The negative examples: what paraphrases are made from."""
-    negative = examples(spark, sf, texts(spark, sf)).where(F.col("label") == 0)
-    return negative.withColumnRenamed("row_id", "src_id")
+    """All documents as texts that paraphrases are made from."""
+    return all_examples(spark, sf, texts(spark, sf)).withColumnRenamed("row_id", "src_id")
 
 
 def generated(spark: SparkSession, sf: str, passes: int = 3) -> DataFrame:
@@ -127,7 +127,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """A vector for every token of the negative examples: the embedding its hash points to."""
+    """A vector for every token of the documents: the embedding its hash points to."""
     embeddings = table(spark, sf, "embeddings")
     slot = F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long") % embeddings.count()
     tokens = originals(spark, sf).select(F.explode(ws_tokens(F.col("text"))).alias("token")).distinct()
