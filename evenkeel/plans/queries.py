@@ -703,7 +703,7 @@ def metrics_long(spark: SparkSession, sf: str) -> DataFrame:
 RATIOS = """ratios AS (
   SELECT dataset_id, max(n)::DOUBLE / min(n) AS imbalance_ratio FROM (
     SELECT lang || '/' || source AS dataset_id, toxic, count(*) AS n
-    FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY ALL) GROUP BY dataset_id)"""
+    FROM documents JOIN labels USING (doc_id) GROUP BY ALL) GROUP BY dataset_id)"""
 
 
 @query(
@@ -712,11 +712,9 @@ RATIOS = """ratios AS (
 FROM report LEFT JOIN ratios USING (dataset_id)"""
 )
 def metrics_with_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics with the imbalance of another label; datasets without a row in it keep a null."""
-    good = t.table(spark, sf, "documents").join(
-        t.table(spark, sf, "labels").where(F.col("quality") == 1), "doc_id"
-    )
-    toxic = good.select(lab.dataset_key(F.col("lang"), F.col("source")).alias("dataset_id"), F.col("toxic").alias("label"))
+    """Metrics with the imbalance of another label."""
+    labelled = t.table(spark, sf, "documents").join(t.table(spark, sf, "labels"), "doc_id")
+    toxic = labelled.select(lab.dataset_key(F.col("lang"), F.col("source")).alias("dataset_id"), F.col("toxic").alias("label"))
     report = metrics.fairness_report(t.predictions(spark, sf))
     joined = reshape.metrics_with_ratio(report, profile.imbalance_summary(toxic))
     return joined.select(
@@ -930,12 +928,57 @@ def lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
 # ---- Models ---------------------------------------------------------------------------------------------
 
 
-@query(None)
+BAYES = f"""strategies AS (
+  SELECT 'baseline' AS strategy, dataset_id, row_id, label FROM parts WHERE split = 'train'
+  UNION ALL SELECT 'simple_oversampling', dataset_id, row_id, label FROM doubled),
+priors AS (
+  SELECT dataset_id, strategy, label, n, ln(n::DOUBLE / sum(n) OVER (PARTITION BY dataset_id, strategy)) AS prior
+  FROM (SELECT dataset_id, strategy, label, count(*) AS n FROM strategies GROUP BY ALL)),
+texts AS (SELECT row_id, {sql.tokens('text')} AS w FROM raw),
+learned AS MATERIALIZED (
+  SELECT dataset_id, strategy, label, token, count(*) AS c
+  FROM (SELECT s.*, unnest(w) AS token FROM strategies s JOIN texts USING (row_id)) GROUP BY ALL),
+totals AS (SELECT dataset_id, strategy, label, sum(c) AS total FROM learned GROUP BY ALL),
+kinds AS (SELECT dataset_id, strategy, count(DISTINCT token) AS v FROM learned GROUP BY ALL),
+test_words AS (
+  SELECT dataset_id, row_id, token, count(*) AS n FROM (
+    SELECT dataset_id, row_id, unnest(w) AS token FROM parts JOIN texts USING (row_id) WHERE split = 'test') GROUP BY ALL),
+lengths AS (
+  SELECT dataset_id, row_id, parts.label AS y_true, len(w) AS n FROM parts JOIN texts USING (row_id) WHERE split = 'test'),
+hits AS (
+  SELECT dataset_id, strategy, row_id, label, sum(n * ln(c + 1.0::DOUBLE)) AS s
+  FROM test_words JOIN learned USING (dataset_id, token) GROUP BY ALL),
+scores_nb AS (
+  SELECT l.dataset_id, p.strategy, l.row_id, y_true, p.label,
+         prior + coalesce(s, 0) - l.n * ln(coalesce(total, 0) + coalesce(v, 0) + 1.0::DOUBLE) AS score
+  FROM lengths l JOIN priors p USING (dataset_id)
+  LEFT JOIN totals t ON t.dataset_id = p.dataset_id AND t.strategy = p.strategy AND t.label = p.label
+  LEFT JOIN kinds k ON k.dataset_id = p.dataset_id AND k.strategy = p.strategy
+  LEFT JOIN hits h ON h.dataset_id = p.dataset_id AND h.strategy = p.strategy AND h.row_id = l.row_id AND h.label = p.label),
+predictions AS (
+  SELECT dataset_id, strategy, row_id, y_true, label AS y_pred FROM scores_nb
+  QUALIFY row_number() OVER (PARTITION BY dataset_id, strategy, row_id ORDER BY score DESC, label) = 1)"""
+
+
+@query(
+    sql.with_tables(
+        sql.RAW,
+        f"parts AS ({_split_sql('raw')})",
+        "train AS (SELECT * FROM parts WHERE split = 'train')",
+        _duplicate_sql("train"),
+        BAYES,
+        sql.LABEL_SCORES,
+        sql.REPORT,
+    )
+    + """SELECT dataset_id, strategy, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+       round(tpr_class_0, 6) AS tpr_class_0, round(tpr_class_1, 6) AS tpr_class_1,
+       round(abs(tpr_class_0 - tpr_class_1), 6) AS tpr_gap FROM report"""
+)
 def fit_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Classifiers per language trained on the plain and on the duplicated training part, same test part."""
-    examples = training.hashed(t.examples(spark, sf, t.texts(spark, sf)))
-    rows = settle(splits.train_test_split(examples), "split")
+    """Classifiers per language and strategy, fitted as one job and judged on the same test part."""
+    rows = settle(splits.train_test_split(t.examples(spark, sf, t.texts(spark, sf))), "split")
     train, test = rows.where(F.col("split") == "train").drop("split"), rows.where(F.col("split") == "test").drop("split")
-    ids = [r[0] for r in rows.select("dataset_id").distinct().orderBy("dataset_id").collect()]
-    strategies = {"baseline": train, "simple_oversampling": settle(balance.duplicate_minority(train), "train")}
-    return training.evaluate(strategies, test, ids)
+    doubled = balance.duplicate_minority(train).drop("copy")
+    both = train.withColumn("strategy", F.lit("baseline")).unionByName(doubled.withColumn("strategy", F.lit("simple_oversampling")))
+    report = metrics.fairness_report(settle(training.bayes_predictions(settle(both, "train"), test), "predictions"))
+    return report.select("dataset_id", "strategy", *[F.round(c, 6).alias(c) for c in ROUNDED])
