@@ -12,7 +12,7 @@ from evenkeel.constants import MAX_LENGTH, SCORE_THRESHOLD
 from evenkeel.functions import labels as lab
 from evenkeel.operators import balance, encoding, hooks, metrics, splits
 from evenkeel.plans import fragments as sql
-from evenkeel.plans import paraphrase, queries
+from evenkeel.plans import paraphrase, prepare, queries
 from evenkeel.plans import tables as t
 from evenkeel.plans.ingest import ingest_reviews
 from evenkeel.plans.registry import query
@@ -213,3 +213,29 @@ def shuffled_positions(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = shuffle_rows(t.examples(spark, sf).select("dataset_id", "row_id"), SEED, "dataset_id", "row_id")
     return file_positions(settle(rows, "shuffled"), []).select("row_id", "position")
+
+
+PREPARED = f"""parts AS ({queries._split_sql('raw')}),
+train AS (SELECT * FROM parts WHERE split = 'train'),
+{queries._duplicate_sql('train')},
+kept AS (
+  SELECT 'baseline' AS strategy, dataset_id, label, row_id FROM train
+  UNION ALL SELECT 'simple_oversampling', dataset_id, label, row_id FROM doubled),
+before AS (SELECT dataset_id, label, count(*) AS n_before FROM train GROUP BY ALL),
+after AS (SELECT strategy, dataset_id, label, count(*) AS n_after, sum(row_id)::BIGINT AS ids FROM kept GROUP BY ALL)"""
+
+
+@query(
+    sql.with_tables(sql.RAW, PREPARED)
+    + "SELECT strategy, dataset_id, label, n_before, n_after, n_after AS n_stored, ids FROM after JOIN before USING (dataset_id, label)"
+)
+def prepare_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """Two strategies end to end, each run twice: the second time everything is there already."""
+    root, counts = new_path(spark, "prepared"), []
+    examples = t.examples(spark, sf, t.texts(spark, sf))
+    for strategy in ("baseline", "simple_oversampling"):
+        prepare.prepare(examples, strategy, root)
+        counts.append(prepare.prepare(examples, strategy, root))
+    rows = spark.read.parquet(root).where("split = 'train'").groupBy("strategy", "dataset_id", F.col("label").cast("int").alias("label"))
+    rows = rows.agg(F.count(F.lit(1)).alias("n_stored"), F.sum("row_id").alias("ids"))
+    return counts[0].unionByName(counts[1]).join(rows, ["strategy", "dataset_id", "label"])
