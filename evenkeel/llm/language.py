@@ -226,9 +226,9 @@ def fit(
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-        uses = counted.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        uses = counted.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         p = np.full(p.shape, smoothing)
-        p[uses["piece"].to_numpy(np.int64), uses["lang"].to_numpy(np.int64)] += uses["n"].to_numpy(float)
+        p[uses["piece"].to_numpy(), uses["lang"].to_numpy()] += uses["n"].to_numpy()
         p[-1] = 0
         p /= p.sum(axis=0)
         shared.unpersist()

@@ -83,6 +83,14 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
 
 
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The integer lists of a column."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def descend(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, passes: int, seed: int) -> np.ndarray:
     """Weights (the last is the intercept) of the hinge-loss model, found by dual coordinate descent."""
     w, alpha, rng = np.zeros(len(ratio) + 1), np.zeros(len(y)), np.random.default_rng(seed)
@@ -169,32 +177,31 @@ def fit(
         return QualityModel(np.zeros(slots), np.ones(slots), 0.0, 1.0, float(np.log(odds)))
     kept = F.col("h") % CALIBRATION != 0
     summed = found.where(kept).mapInArrow(tally, "slot int, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = summed.toPandas()  # one row per slot at most
+    table = summed.toArrow()  # one row per slot at most
     counts = np.full((2, slots), smoothing)
-    counts[:, table["slot"].to_numpy(np.int64)] += table[["n0", "n1"]].to_numpy().T
+    for row, name in enumerate(("n0", "n1")):
+        counts[row, table["slot"].to_numpy()] += table[name].to_numpy()
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     total = sum(classes.values())
     balance = {y: total / (2 * n) for y, n in classes.items()}
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
 
-    def solve(frame):
-        frame = frame.sort_values("h", kind="stable")  # the same fit however the rows arrived
-        y = frame["y"].to_numpy()
-        w = descend(list(frame["f"]), np.where(y > 0, 1.0, -1.0), shared.value, np.where(y > 0, cost * balance[1], cost * balance[0]), passes, int(frame["shard"].iloc[0]))
-        import pandas as pd
-
-        return pd.DataFrame({"w": [w.tobytes()], "n": [len(y)]})
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("h")  # the same fit however the rows arrived
+        y = rows["y"].to_numpy()
+        w = descend(lists_of(rows["f"]), np.where(y > 0, 1.0, -1.0), shared.value, np.where(y > 0, cost * balance[1], cost * balance[0]), passes, rows["shard"][0].as_py())
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "n": pa.array([len(y)], pa.int64())})
 
     dealt = found.where(kept).withColumn("shard", (F.floor(F.col("h") / CALIBRATION) % shards).cast("int"))
-    parts = dealt.groupBy("shard").applyInPandas(solve, "w binary, n long").collect()  # one row per shard
+    parts = dealt.groupBy("shard").applyInArrow(solve, "w binary, n long").collect()  # one row per shard
     w = sum(np.frombuffer(r["w"]) * r["n"] for r in parts) / max(1, sum(r["n"] for r in parts)) if parts else np.zeros(slots + 1)
     model = QualityModel(ratio * w[:-1], ratio * ratio, float(w[-1]), 1.0, 0.0)
-    held = found.where(~kept).select("y", "f").toPandas()  # part of the bounded sample
-    if held["y"].nunique() == 2:
-        features = list(held["f"])
+    held = found.where(~kept).select("y", "f").toArrow()  # part of the bounded sample
+    y = held["y"].to_numpy()
+    if len(set(y.tolist())) == 2:
+        features = lists_of(held["f"])
         margins = np.array([model.weights[f].sum() / np.sqrt(model.scale[f].sum() + 1e-12) if len(f) else 0.0 for f in features]) + model.intercept
         true = labelled_share(marked)
-        y = held["y"].to_numpy()
         weight = np.where(y > 0, true, 1 - true) * len(y) / np.where(y > 0, (y > 0).sum(), (y <= 0).sum())
         model.slope, model.shift = logistic(margins, y, weight)
     return model
