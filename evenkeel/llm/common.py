@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Folder of the public vocabularies; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
 #: Texts are handled in slices of a batch that hold about this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Entries of a per-task cache before it is emptied.
 CACHE_ENTRIES = 300_000
 

@@ -28,7 +28,7 @@ from evenkeel.llm.common import binary_rows, list_rows, text_slices, vocabulary_
 from evenkeel.llm.tokens import END, VOCABULARY, Encoder, dtype_for
 
 ROW_TOKENS = 2048
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 2 << 20
 
 SCHEMA = (
     "shard int, row long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, "
