@@ -114,6 +114,8 @@ class Builder:
     def push(self, tag: str, attributes: str, void: bool) -> None:
         here = self.open[-1]
         node = Node(tag, attributes, here)
+        if tag == "form" and here.tag in IN_TABLE:
+            void = True  # rows and cells stay those of the table
         if here.tag in IN_TABLE and tag not in TABLE_PARTS and tag not in ("script", "style", "template", "form", "input"):
             self.before_table(node)
         else:

@@ -41,6 +41,21 @@ def test_layout(page):
     assert visible_text(page) == CASES[page]
 
 
+FORMS = {
+    "<table><form><tr><td>text</td></tr></form></table>": "text",
+    "<table><tr><form><td>text<td>more</td></form></tr></table>": "text  more",
+    "<table><tbody><form><tr><td>a<td><input name=q>b</form><tr><td>longer<td>c</table>d": "a       b\nlonger  c\n\nd",
+    "<table><form hidden><tr><td>a</form></table>": "a",
+    "<form>x<table><form><tr><td>a</form><td>b</table>y</form>z": "x\n\na  b\n\ny\nz",
+    "<table><tr><td><form>a<p>b</form>c</table>": "a\n\nb\n\nc",
+}
+
+
+@pytest.mark.parametrize("page", FORMS)
+def test_forms_between_the_parts_of_a_table(page):
+    assert visible_text(page) == FORMS[page]
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert visible_text("<table><tr><td>" * 300 + "x").strip() == "x"
