@@ -2,7 +2,7 @@
 
 The tree builder supplies implied tags (paragraphs ended by blocks, list items by list items, cells and rows of tables, missing
 rows), puts what a table cannot hold in front of it, ends raw text elements only at their own end tag and closes at
-the end of the page whatever is open. Elements nested more than ``DEEPEST`` deep are placed at that depth; no text is lost.
+the end of the page whatever is open. Elements may be nested to any depth.
 
 Not visible: scripts, styles, templates, the head, fallback content of embedded media, controls and elements hidden by the
 ``hidden`` attribute, by ``display: none`` or, unless a descendant is visible again, by ``visibility: hidden`` in their own
@@ -10,7 +10,8 @@ style; closed details but their summary; closed dialogs. Everything else is emit
 
 Blocks start on lines of their own, paragraphs, headings, lists, quotations and tables have a blank line around them, list items
 have a mark and their further lines an indent, preformatted text keeps its white space, table cells are padded so
-that columns stand under one another, with two blanks between them.
+that columns stand under one another, with two blanks between them. Layout, not text, has bounds, as it would grow with the square
+of the depth: indents stop at ``WIDEST`` columns, and tables inside ``GRIDS`` others have each cell on lines of its own.
 
 A null page is null, an empty page or one without visible text is the empty string. Repeated rows give equal texts, null
 ids stay null. A sign that opens no tag is text; a quotation mark in a tag that is never closed is ignored.
@@ -19,6 +20,7 @@ ids stay null. A sign that opens no tag is text; a quotation mark in a tag that
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import text_slices
 
-DEEPEST = 120
+WIDEST = 240
+GRIDS = 40
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +84,7 @@ class Builder:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {"html": [0]}  # places of the open elements of each tag
 
     def text(self, data: str) -> None:
         here = self.open[-1]
@@ -91,7 +95,7 @@ class Builder:
 
     def before_table(self, item) -> None:
         """Put what a table cannot hold in front of the table."""
-        table = next(n for n in reversed(self.open) if n.tag == "table") if any(n.tag == "table" for n in self.open) else None
+        table = self.open[self.last("table")] if self.at.get("table") else None
         if table is None or table.parent is None:
             self.open[-1].children.append(item)
             return
@@ -100,16 +104,24 @@ class Builder:
             item.parent = table.parent
         siblings.insert(next(i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is table), item)
 
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, -1 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def cut(self, k: int) -> None:
+        """End the open elements from the k-th on."""
+        for node in self.open[k:]:
+            self.at[node.tag].pop()
+        del self.open[k:]
+
     def close(self, tags: frozenset | set, walls: frozenset = WALLS) -> bool:
         """End the innermost open element of ``tags`` and all inside it, unless a wall stands between."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in tags:
-                del self.open[k:]
-                return True
-            if tag in walls:
-                return False
-        return False
+        k = max(map(self.last, tags))
+        if k <= 0 or k < max(map(self.last, walls)):
+            return False
+        self.cut(k)
+        return True
 
     def push(self, tag: str, attributes: str, void: bool) -> None:
         here = self.open[-1]
@@ -120,7 +132,8 @@ class Builder:
             self.before_table(node)
         else:
             here.children.append(node)
-        if not void and len(self.open) < DEEPEST:
+        if not void:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def start(self, tag: str, attributes: str, void: bool) -> None:
@@ -133,11 +146,11 @@ class Builder:
                 self.close({"head"})
             return
         if self.open[-1].tag == "head" and tag not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
-            self.open.pop()  # the head ends where something stands that it cannot hold
+            self.cut(len(self.open) - 1)  # the head ends where something stands that it cannot hold
         if tag in CLOSES_P:
             self.close({"p"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         elif tag == "li":
             self.close({"li"}, WALLS | {"ul", "ol", "menu", "dir"})
         elif tag in ("dd", "dt"):
@@ -152,7 +165,7 @@ class Builder:
 
     def in_table(self, tag: str) -> None:
         """Close what the part of a table ends, and supply the row that a cell needs."""
-        if not any(n.tag == "table" for n in self.open):
+        if not self.at.get("table"):
             return
         walls = frozenset(("table", "html", "template"))
         if tag in ("td", "th"):
@@ -165,12 +178,7 @@ class Builder:
             self.close(SECTIONS | {"caption", "colgroup"}, walls) or self.close({"tr"}, walls)
 
     def within(self, tag: str) -> bool:
-        for node in reversed(self.open):
-            if node.tag == tag:
-                return True
-            if node.tag == "table":
-                return False
-        return False
+        return self.last(tag) > self.last("table")
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -224,8 +232,7 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             inner = page[at : stop.start()] if stop else page[at:]
             builder.open[-1].children.append(unescape(inner) if tag in ("title", "textarea") else inner)
-            if builder.open[-1].tag == tag:
-                builder.open.pop()
+            builder.cut(len(builder.open) - 1)
             at = stop.end() if stop else size
         elif tag == "plaintext":
             builder.open[-1].children.append(page[at:])
@@ -242,6 +249,10 @@ class Writer:
         self.gap = 0
         self.indent, self.mark = "", ""
 
+    def deeper(self, columns: int) -> str:
+        """The indent with so many columns more, as far as it may grow."""
+        return (self.indent + " " * columns)[:WIDEST]
+
     def open_line(self) -> None:
         if self.lines:
             self.lines += [""] * self.gap
@@ -292,7 +303,21 @@ def number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"-?\d{1,9}", value.strip()) else default
 
 
-def render(node: Node, out: Writer, seen: bool = True, kept: bool = False, nested: int = 0) -> None:
+def finish(step: Generator):
+    """Run a step and the steps it yields, on a stack of its own: pages are nested deeper than functions may be."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def render(node: Node, out: Writer, seen: bool = True, kept: bool = False, nested: int = 0, grids: int = 0) -> Generator:
+    """Write a node's text; a step for ``finish``, as is ``table_lines``."""
     tag = node.tag
     if tag in UNSEEN or tag == "input":
         return
@@ -309,9 +334,15 @@ def render(node: Node, out: Writer, seen: bool = True, kept: bool = False, neste
         return
     if tag == "table":
         out.block(True)
-        for line in table_lines(node, seen):
-            out.keep(line)
-            out.end_line(True)
+        if grids < GRIDS:
+            for line in (yield table_lines(node, seen, grids + 1)):
+                out.keep(line)
+                out.end_line(True)
+        else:
+            captions, rows = rows_of(node)
+            for part in (*captions, *(cell for row in rows for cell in cells_of(row))):
+                out.block(False)
+                yield render(part, out, seen, kept, nested, grids)
         out.block(True)
         return
     block, spaced = tag in BLOCK, tag in SPACED and not (nested and tag in ("ul", "ol", "menu", "dir"))
@@ -321,7 +352,7 @@ def render(node: Node, out: Writer, seen: bool = True, kept: bool = False, neste
         nested += 1
     indent = out.indent
     if tag == "blockquote" or tag == "dd":
-        out.indent += "  "
+        out.indent = out.deeper(2)
     count = number(node.get("start"), 1) if tag == "ol" else 0
     kept = kept or tag in ("pre", "textarea", "xmp", "plaintext", "listing")
     children = node.children
@@ -337,13 +368,13 @@ def render(node: Node, out: Writer, seen: bool = True, kept: bool = False, neste
             count = number(child.get("value"), count)
             out.block(False)
             mark = f"{count}. " if tag == "ol" else "- "
-            own, out.indent, out.mark = out.indent, out.indent + " " * len(mark), mark
-            render(child, out, seen, kept, nested)
+            own, out.indent, out.mark = out.indent, out.deeper(len(mark)), mark
+            yield render(child, out, seen, kept, nested, grids)
             out.block(False)
             out.indent, out.mark = own, ""
             count += 1
         else:
-            render(child, out, seen, kept, nested)
+            yield render(child, out, seen, kept, nested, grids)
     out.indent = indent
     if block:
         out.block(spaced)
@@ -369,12 +400,16 @@ def hidden(node: Node) -> bool:
     return bool(node.attributes) and (node.get("hidden") is not None or bool(HIDDEN_STYLE.search((node.get("style") or "").lower())))
 
 
-def table_lines(table: Node, seen: bool) -> list[str]:
+def cells_of(row: Node) -> list[Node]:
+    return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)]
+
+
+def table_lines(table: Node, seen: bool, grids: int) -> Generator:
     captions, rows = rows_of(table)
     lines: list[str] = []
     for caption in captions:
         out = Writer()
-        render(caption, out, seen)
+        yield render(caption, out, seen, grids=grids)
         lines += out.whole()
     grid: list[list[tuple[list[str], int]]] = []  # per row: lines of a cell and the columns it spans
     below: dict[int, int] = {}  # column: rows for which a cell above still fills it
@@ -388,12 +423,10 @@ def table_lines(table: Node, seen: bool) -> list[str]:
                 cells.append(([], 1))
                 column += 1
 
-        for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden(cell):
-                continue
+        for cell in cells_of(row):
             fill()
             out = Writer()
-            render(cell, out, seen)
+            yield render(cell, out, seen, grids=grids)
             wide, tall = max(1, min(1000, number(cell.get("colspan"), 1))), max(1, min(65534, number(cell.get("rowspan"), 1)))
             cells.append((out.whole(), wide))
             for k in range(wide):
@@ -421,7 +454,7 @@ def table_lines(table: Node, seen: bool) -> list[str]:
 
 def visible_text(page: str) -> str:
     out = Writer()
-    render(parse(page), out)
+    finish(render(parse(page), out))
     return "\n".join(out.whole()).replace("\xa0", " ").strip("\n")
 
 

@@ -64,6 +64,30 @@ def test_deep_and_long_pages():
     visible_text("<a " + "x=' " * 20_000)
 
 
+UNCLOSED = "<font><b><span>" * 500
+DEEP = {
+    UNCLOSED + "a<script>var x</script><style>p{}</style><noscript>n</noscript>b": "ab",
+    UNCLOSED + "a<i hidden>h</i><i style='display:none'>h</i><template><b>t</b></template><select><option>o</select><svg><text>s</text></svg>b": "ab",
+    UNCLOSED + "<table><tr><td>a<td>b<tr><td>longer<td>c</table>": "a       b\nlonger  c",
+    "<div>a" + UNCLOSED + "<div>b</div>c</div>d": "a\nb\nc\nd",
+    "<blockquote>" * 2_000 + "x": "x",
+    "<ul><li>" * 2_000 + "x": "- x",
+}
+
+
+@pytest.mark.parametrize("page", DEEP, ids=range(len(DEEP)))
+def test_nothing_changes_with_depth(page):
+    assert visible_text(page).strip() == DEEP[page]
+
+
+def test_deep_pages_take_linear_time_and_room():
+    assert visible_text("<p>" + "<b>" * 50_000 + "<button>" + "<i>" * 50_000 + "<div>x</u></div>" * 20_000).count("x") == 20_000
+    deep = visible_text("<blockquote>x" * 3_000)
+    assert deep.count("x") == 3_000 and len(deep) < 3_000 * 250
+    words = visible_text("<table><caption>x<tr><td>y<td hidden>n<td>z" * 2_000).split()
+    assert sorted(words) == ["x"] * 2_000 + ["y"] * 2_000 + ["z"] * 2_000
+
+
 def test_tables(spark):
     rows = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted(map(str, extract(rows).collect())) == sorted(["Row(page_id=1, text='a')"] * 2 + ["Row(page_id=None, text=None)"])
