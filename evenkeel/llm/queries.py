@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, embeddings, html_text, language, lines, mixing, near_duplicates, packing, quality, token_files
+from evenkeel.llm import (
+    chat,
+    decontaminate,
+    embeddings,
+    html_text,
+    language,
+    lines,
+    merkle,
+    mixing,
+    near_duplicates,
+    packing,
+    quality,
+    token_files,
+    whitening,
+)
 from evenkeel.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +197,90 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into rows of 2,048 identifiers."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, coalesce('=' || source, '') AS s,
+           concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END,
+                  CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                  CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                  CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS head,
+           CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS stored,
+           CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' ||
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS lowered,
+           xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+               lambda crc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(crc, b)),
+               4294967295), 4294967295) % 5 = 0 AS tampered
+    FROM documents),
+leaves AS (
+    SELECT doc_id, s, leaf, CASE WHEN tampered THEN sha256(head || lowered) ELSE leaf END AS given,
+           row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY s) AS n
+    FROM (SELECT *, sha256(head || stored) AS leaf FROM texts)),
+nodes AS (
+    SELECT s, 0 AS level, idx, leaf AS digest, n FROM leaves
+    UNION ALL
+    SELECT s, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16
+    FROM nodes WHERE n > 1 GROUP BY s, level, n, idx // 16),
+subroots AS (
+    SELECT s, digest AS subroot, row_number() OVER (ORDER BY s) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS level, idx, subroot AS digest, n FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16
+    FROM tops WHERE n > 1 GROUP BY level, n, idx // 16),
+runs AS (SELECT s, level, idx // 16 AS run, list(digest ORDER BY idx) AS d FROM nodes WHERE n > 1 GROUP BY s, level, idx // 16),
+top_runs AS (SELECT level, idx // 16 AS run, list(digest ORDER BY idx) AS d FROM tops WHERE n > 1 GROUP BY level, idx // 16),
+steps AS (
+    SELECT l.s, l.idx, r.level, array_to_string(d[1:p], '') AS before, array_to_string(d[p + 2:], '') AS after
+    FROM (SELECT l.s, l.idx, r.level, r.d, (l.idx // CAST(pow(16, r.level) AS BIGINT)) % 16 AS p
+          FROM leaves l JOIN runs r ON l.s = r.s AND r.run = l.idx // CAST(pow(16, r.level + 1) AS BIGINT)) r, LATERAL (SELECT r.s, r.idx) l
+    UNION ALL
+    SELECT s, idx, 100 + level, array_to_string(d[1:p], ''), array_to_string(d[p + 2:], '')
+    FROM (SELECT l.s, l.idx, t.level, t.d, (r.idx // CAST(pow(16, t.level) AS BIGINT)) % 16 AS p
+          FROM leaves l JOIN subroots r USING (s) JOIN top_runs t ON t.run = r.idx // CAST(pow(16, t.level + 1) AS BIGINT))),
+paths AS (
+    SELECT s, idx, string_agg(before || after, '' ORDER BY level) AS siblings, list(before || ',' || after ORDER BY level) AS way
+    FROM steps GROUP BY s, idx),
+folded AS (
+    SELECT leaves.*, coalesce(siblings, '') AS siblings,
+           coalesce(list_reduce(way, lambda acc, w: sha256(concat(split_part(w, ',', 1), acc, split_part(w, ',', 2))), given), given) AS folded_root
+    FROM leaves LEFT JOIN paths USING (s, idx))
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, folded_root,
+       folded_root = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM folded JOIN subroots USING (s)
+"""
+
+
+@query(OP11_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those whose id's checksum is divisible by five are checked with a lower-cased text."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    proved = merkle.manifest(table(spark, sf_dir, "documents"), checked=F.when(tampered, merkle.lower_ascii(F.col("text"))))
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("check_leaf"), F.col("segments")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings_text(F.col("segments")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query()
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings, as whole numbers of 64ths."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.apply(rows, whitening.fit(rows))
+
+
+@query()
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted windows of all conversations, and of one made of control strings, say when they are read back."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_windows(rows.unionByName(extra)))
