@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.text import ws_tokens
 from evenkeel.operators.joining import attach_settled
-from evenkeel.operators.metrics import fairness_report
 from evenkeel.workspace import settle
 
 
@@ -49,66 +42,6 @@ def bayes_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
     return scored.groupBy(*group, "row_id", "y_true").agg(best.alias("y_pred"))
 
 
-def hashed(df: DataFrame, features: int = 1 << 14) -> DataFrame:
-    """Replace the text by its hashed word counts.
-
-    This needs no training, so it is done once for all datasets, strategies and parts.
-    """
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+")
-    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
-    return counts.transform(words.transform(df)).drop("words", "text")
-
-
-def classifier(iterations: int = 20) -> Pipeline:
-    return Pipeline(
-        stages=[
-            IDF(inputCol="counts", outputCol="features"),
-            LogisticRegression(maxIter=iterations, regParam=0.01, labelCol="label"),
-        ]
-    )
-
-
-def fit(train: DataFrame, dataset_id: str, model: Pipeline | None = None) -> PipelineModel:
-    """Fit one dataset's classifier on hashed rows; Spark ML spreads the rows of every iteration."""
-    rows = train.where(F.col("dataset_id") == dataset_id).select("counts", "label")
-    return (model or classifier()).fit(rows)
-
-
-def predict(test: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``y_pred``, the class with the highest score."""
-    scored = model.transform(test)
-    return scored.select(*test.columns, F.col("prediction").cast("int").alias("y_pred"))
-
-
-def predict_strategies(
-    train: Mapping[str, DataFrame], test: DataFrame, dataset_ids: Sequence[str]
-) -> DataFrame:
-    """Predictions of every dataset's model under every strategy on the same baseline test rows, all hashed.
-
-    The strategy decides on the training rows only. One model is fitted per dataset and strategy, which is the
-    experiment itself; the catalogue of datasets is a short list, the rows inside are not.
-    """
-    parts = []
-    for strategy, rows in train.items():
-        for dataset_id in dataset_ids:
-            own_test = test.where(F.col("dataset_id") == dataset_id)
-            predicted = predict(own_test, fit(rows, dataset_id))
-            parts.append(
-                predicted.select(
-                    "dataset_id",
-                    F.lit(strategy).alias("strategy"),
-                    "row_id",
-                    F.col("label").alias("y_true"),
-                    "y_pred",
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def evaluate(train: Mapping[str, DataFrame], test: DataFrame, dataset_ids: Sequence[str]) -> DataFrame:
-    return fairness_report(predict_strategies(train, test, dataset_ids))
-
-
 def run_records(
     jobs: DataFrame, strategy: str, model_name: str, epochs: int, patience: int
 ) -> DataFrame:

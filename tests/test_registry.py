@@ -86,27 +86,6 @@ def test_sources_keep_to_the_rules():
                 assert not used & banned, (name, used & banned)
 
 
-def test_models_are_judged_on_the_same_test_rows(spark):
-    from evenkeel.operators.balance import duplicate_minority
-    from evenkeel.plans.training import classifier, hashed, predict_strategies
-
-    rows = hashed(splits.train_test_split(
-        spark.range(120).select(
-            F.lit("d").alias("dataset_id"),
-            F.col("id").alias("row_id"),
-            F.when(F.col("id") % 6 == 0, F.lit("bad poor awful")).otherwise(F.lit("good fine great")).alias("text"),
-            (F.col("id") % 6 != 0).cast("int").alias("label"),
-        )
-    )).cache()
-    train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
-    out = predict_strategies({"baseline": train, "dup": duplicate_minority(train)}, test, ["d"]).cache()
-    assert len(classifier().getStages()) == 2
-    ids = {s: sorted(r.row_id for r in out.where(F.col("strategy") == s).collect()) for s in ("baseline", "dup")}
-    assert ids["baseline"] == ids["dup"] == sorted(r.row_id for r in test.collect())
-    report = {r.strategy: r.macro_f1 for r in metrics.fairness_report(out).collect()}
-    assert report == {"baseline": 1.0, "dup": 1.0}
-
-
 def test_worker_functions_travel_with_the_job(tmp_path):
     import subprocess
     import sys
