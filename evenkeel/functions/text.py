@@ -25,6 +25,18 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
+def joined_words(text: Column) -> Column:
+    """The words of ``split_words`` with one blank between them: the same tokens without an array."""
+    # A single blank, which is most white space, is left as it is instead of being replaced by itself.
+    other = SPACE_CLASS.replace(r"\x{20}", r"\x{1f}")
+    return F.trim(F.regexp_replace(text, f"{SPACE_CLASS}{{2,}}|{other}", " "))
+
+
+def joined_tokens(text: Column) -> Column:
+    """The tokens of ``ws_tokens`` with one blank between them."""
+    return joined_words(F.lower(text))
+
+
 def ws_tokens(text: Column) -> Column:
     return split_words(F.lower(text))
 

@@ -3,104 +3,227 @@
 Every token takes its best cosine against the other text; precision and recall are the means over the
 paraphrase's and the original's tokens. Equal tokens match with 1.0; a token without a vector matches only
 itself. A text without tokens scores 0.0.
+
+Inside a task tokens are integers: the token lists of a batch are coded at once, and a token's code leads to its place in one flat buffer of
+32-bit vectors. Only tokens that are missing in the other text are compared. Products are taken block by block in 32 bits and merged by
+maximum; the cosine of the best partner is then taken in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evenkeel.functions.text import ws_tokens
+from evenkeel.functions.text import joined_tokens
+from evenkeel.operators.coded import token_codes
 from evenkeel.operators.joining import attach_settled
-from evenkeel.workspace import fits_broadcast, settle
+from evenkeel.workspace import fits_broadcast, settle, shuffle_partitions
 
 # A vector table is sent to the Python workers only up to these measured sizes.
 VECTOR_ROWS = 200_000
 VECTOR_BYTES = 128 * 1024 * 1024
-# Rows of one block of the similarity matrix.
-BLOCK = 1024
+# Beyond them the vectors that a batch of pairs needs are sent along with it; so many batches to a shuffle partition.
+BATCHES = 4
+# Rows and columns of one block of the similarity matrix.
+BLOCK = 2048
+
+
+class Vectors:
+    """Token vectors in one flat buffer."""
+
+    def __init__(self, tokens: list[str], buffer: np.ndarray):
+        self.place = {token: i for i, token in enumerate(tokens)}
+        self.rows = buffer.reshape(len(tokens), -1) if tokens else np.zeros((0, 1), np.float32)
+        norms = np.sqrt(np.einsum("ij,ij->i", self.rows, self.rows, dtype=np.float64))
+        self.norms = np.where(norms > 0, norms, 1.0)
+
+    def places(self, tokens: pa.Array) -> np.ndarray:
+        """Where each token's vector lies; -1 for none."""
+        return np.fromiter((self.place.get(t, -1) for t in tokens.to_pylist()), np.int64, len(tokens))
+
+    def best(self, ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Highest cosine of each of our vectors against theirs."""
+        most, at = np.full(len(ours), -np.inf, np.float32), np.zeros(len(ours), np.int64)
+        for j in range(0, len(theirs), BLOCK):
+            part = theirs[j : j + BLOCK]
+            columns = (self.rows[part] / self.norms[part, None].astype(np.float32)).T
+            for i in range(0, len(ours), BLOCK):
+                own = slice(i, i + BLOCK)
+                product = self.rows[ours[own]] @ columns
+                where = product.argmax(axis=1)
+                value = product[np.arange(len(where)), where]
+                better = value > most[own]
+                most[own], at[own] = np.where(better, value, most[own]), np.where(better, part[where], at[own])
+        dots = np.einsum("ij,ij->i", self.rows[ours].astype(np.float64), self.rows[at].astype(np.float64))
+        return dots / self.norms[ours] / self.norms[at]
+
+
+def matched_mean(kinds, counts, places, other_kinds, other_places, vectors: Vectors) -> float:
+    """Mean over a text's tokens of the best match in the other text; both given by distinct codes in order."""
+    at = np.minimum(np.searchsorted(other_kinds, kinds), len(other_kinds) - 1)
+    lone = other_kinds[at] != kinds
+    best = np.ones(len(kinds))
+    if lone.any():
+        own, theirs = places[lone], other_places[other_places >= 0]
+        found = np.zeros(len(own))
+        if len(theirs) and (own >= 0).any():
+            found[own >= 0] = np.maximum(vectors.best(own[own >= 0], theirs), 0.0)
+        best[lone] = found
+    return float(best @ counts / counts.sum())
 
 
-def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+def f1(precision: float, recall: float) -> float:
+    return 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
 
 
-def best_similarity(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-    """Highest cosine of each of our unit vectors against theirs, block by block; 0.0 against nothing."""
-    if not len(ours) or not len(theirs):
-        return np.zeros(len(ours))
-    blocks = [(ours[i : i + BLOCK] @ theirs.T).max(axis=1) for i in range(0, len(ours), BLOCK)]
-    return np.concatenate(blocks)
+def scores(hypotheses: pa.Array, references: pa.Array, vectors: Vectors) -> np.ndarray:
+    """F1 of every pair of texts, given by their joined tokens."""
+    (ours, theirs), tokens = token_codes(hypotheses, references)
+    places, out = vectors.places(tokens), np.zeros(len(ours))
+    for i, (x, y) in enumerate(zip(ours, theirs)):
+        if len(x) and len(y):
+            (a, n), (b, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+            p, q = places[a], places[b]
+            out[i] = f1(matched_mean(a, n, p, b, q, vectors), matched_mean(b, m, q, a, p, vectors))
+    return out
 
 
-def matched_mean(tokens, counts, vectors, other_tokens, other_vectors) -> float:
-    """Mean over a text's tokens of the best match in the other text.
+def _places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tokens of a pair that are compared: those missing in the other text, and what they are compared with."""
+    a, b = np.unique(x), np.unique(y)
+    lone, missed = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+    return np.concatenate([lone, missed, b if len(lone) else lone, a if len(missed) else missed])
 
-    A text is given by its distinct tokens and their counts; only tokens missing in the other text need
-    their vectors compared.
-    """
-    if not len(tokens):
-        return 0.0
-    shared = np.isin(tokens, other_tokens)
-    best = np.ones(len(tokens))
-    if not shared.all():
-        best[~shared] = np.maximum(best_similarity(vectors[~shared], other_vectors), 0.0)
-    return float(np.average(best, weights=counts))
 
+def _answer(pairs: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+    """The pairs' own columns and their scores."""
+    names = [pairs.type.field(i).name for i in range(pairs.type.num_fields)]
+    return pa.RecordBatch.from_arrays([*pairs.flatten(), pa.array(values)], [*names, "score"])
 
-def f1(precision: float, recall: float) -> float:
-    return 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
+
+def _with_tokens(pairs: DataFrame, hypothesis: str, reference: str, *more: Column) -> DataFrame:
+    whole = F.struct(*[F.col(c) for c in pairs.columns]).alias("_pair")
+    return pairs.select(*more, whole, joined_tokens(F.col(hypothesis)).alias("_ours"), joined_tokens(F.col(reference)).alias("_theirs"))
+
+
+def _scored_schema(pairs: DataFrame) -> T.StructType:
+    return T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())])
+
+
+def as_buffers(vectors: DataFrame) -> DataFrame:
+    """(token, vector) with the vector's 32-bit numbers as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * 4
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.Array.from_buffers(pa.binary(), len(column), buffers)], ["token", "vector"])
+
+    chosen = vectors.select("token", F.col("vector").cast("array<float>").alias("vector")).where("vector is not null")
+    return chosen.mapInArrow(run, "token string, vector binary")
 
 
-def vector_scorer(vectors: DataFrame):
-    """A map-only scorer over a settled vector table (token, vector) of checked size: texts -> F1 Column."""
-    local = vectors.toPandas()
-    index = {token: i for i, token in enumerate(local["token"])}
-    matrix = unit_rows(np.stack(local["vector"].to_numpy()).astype("float64")) if index else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((index, np.vstack([matrix, np.zeros(matrix.shape[1])])))
+def _numbers(vectors: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors.to_pylist()), np.float32)
 
-    @F.pandas_udf("double")
-    def score(paraphrase: pd.Series, original: pd.Series) -> pd.Series:
-        index, matrix = shared.value
 
-        def side(tokens):
-            kinds, counts = np.unique(np.asarray(tokens, dtype=object).astype(str), return_counts=True)
-            return kinds, counts, matrix[[index.get(t, -1) for t in kinds]]
+def score_by_broadcast(pairs: DataFrame, vectors: DataFrame, hypothesis: str = "paraphrase", reference: str = "original"):
+    """Map-only: every task holds the vector table of proven small size."""
+    local = vectors.toArrow()
+    shared = pairs.sparkSession.sparkContext.broadcast((local["token"].to_pylist(), _numbers(local["vector"])))
 
-        def pair(ours, theirs):
-            if ours is None or theirs is None or not len(ours) or not len(theirs):
-                return 0.0
-            (a, n, x), (b, m, y) = side(ours), side(theirs)
-            return f1(matched_mean(a, n, x, b, y), matched_mean(b, m, y, a, x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Vectors(*shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield _answer(batch.column("_pair"), scores(batch.column("_ours"), batch.column("_theirs"), table))
 
-        return pd.Series([pair(a, b) for a, b in zip(paraphrase, original)], dtype="float64")
+    return _with_tokens(pairs, hypothesis, reference).mapInArrow(run, _scored_schema(pairs))
 
-    def column(paraphrase: Column, original: Column) -> Column:
-        return score(ws_tokens(paraphrase), ws_tokens(original))
 
-    return column
+def compared_tokens(coded: DataFrame) -> DataFrame:
+    """(_batch, token) of all tokens that the pairs of a batch compare, without repeats inside an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (ours, theirs), tokens = token_codes(batch.column("_ours"), batch.column("_theirs"))
+            by_group: dict[int, list[np.ndarray]] = {}
+            for group, x, y in zip(batch.column("_batch").to_pylist(), ours, theirs):
+                if len(x) and len(y):
+                    by_group.setdefault(group, []).append(_places(x, y))
+            for group, parts in by_group.items():
+                own = tokens.take(pa.array(np.unique(np.concatenate(parts))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group, np.int32)), own], ["_batch", "token"])
+
+    return coded.select("_batch", "_ours", "_theirs").mapInArrow(run, "_batch int, token string").distinct()
+
+
+def score_by_batches(pairs: DataFrame, vectors: DataFrame, hypothesis: str = "paraphrase", reference: str = "original") -> DataFrame:
+    """For a settled vector table of any size.
+
+    Pairs are dealt into batches by a hash of the reference, so all pairs of one original are in one batch. The distinct tokens that a batch
+    has to compare are joined to their vectors once for the batch, hot tokens apart from the rest, and are sorted in front of its
+    pairs. A task holds the vectors of one batch; pairs stream past them.
+    """
+    number = shuffle_partitions(pairs.sparkSession)
+    batch = F.pmod(F.xxhash64(F.col(reference)), F.lit(number * BATCHES)).cast("int").alias("_batch")
+    coded = _with_tokens(pairs, hypothesis, reference, batch)
+    needed = settle(compared_tokens(coded), "batch-tokens")
+    sent = attach_settled(needed, vectors, ["token"])
+    own = {c: coded.schema[c].dataType for c in ("_pair", "_ours", "_theirs")}
+    front = sent.select("_batch", F.lit(0).alias("_kind"), "token", "vector", *[F.lit(None).cast(k).alias(c) for c, k in own.items()])
+    nothing = [F.lit(None).cast("string").alias("token"), F.lit(None).cast("binary").alias("vector")]
+    rest = coded.select("_batch", F.lit(1).alias("_kind"), *nothing, *own)
+    dealt = front.unionByName(rest).repartition(number, "_batch").sortWithinPartitions("_batch", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tokens, parts, table = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("_batch").to_numpy() * 2 + batch.column("_kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                current, is_pair = divmod(int(group[start]), 2)
+                if current != name:
+                    name, tokens, parts, table = current, [], [], None
+                if not is_pair:
+                    tokens.append(part.column("token").to_pylist())
+                    parts.append(_numbers(part.column("vector")))
+                    continue
+                if table is None:
+                    table = Vectors(list(chain.from_iterable(tokens)), np.concatenate(parts) if parts else np.zeros(0, np.float32))
+                yield _answer(part.column("_pair"), scores(part.column("_ours"), part.column("_theirs"), table))
+
+    return dealt.mapInArrow(run, _scored_schema(pairs))
 
 
 def matcher(vectors: DataFrame, max_rows: int = VECTOR_ROWS):
     """A pair scorer over ``vectors`` (token string, vector array<float>), one row per token. A null vector is none.
 
     It adds ``score`` to pairs. A vector table of proven small size goes to the workers and the texts are not
-    shuffled at all. A larger one is joined to the distinct tokens of each pair, hot tokens apart from the rest.
+    shuffled at all. Of a larger one every batch of pairs gets the vectors it needs.
     """
-    vectors = settle(vectors.select("token", "vector").where("vector is not null"), "vectors")
-    scorer = vector_scorer(vectors) if fits_broadcast(vectors, max_rows, VECTOR_BYTES) else None
+    vectors = settle(as_buffers(vectors), "vectors")
+    fits = fits_broadcast(vectors, max_rows, VECTOR_BYTES)
 
     def score(
-        pairs: DataFrame, pair_id: Sequence[str], hypothesis: str = "paraphrase", reference: str = "original"
+        pairs: DataFrame, pair_id: Sequence[str] = (), hypothesis: str = "paraphrase", reference: str = "original"
     ) -> DataFrame:
-        if scorer is None:
-            return score_by_join(pairs, vectors, pair_id, hypothesis, reference)
-        return pairs.withColumn("score", scorer(F.col(hypothesis), F.col(reference)))
+        pairs = pairs.drop("score")
+        return (score_by_broadcast if fits else score_by_batches)(pairs, vectors, hypothesis, reference)
 
     return score
 
@@ -108,60 +231,10 @@ def matcher(vectors: DataFrame, max_rows: int = VECTOR_ROWS):
 def greedy_match_f1(
     pairs: DataFrame,
     vectors: DataFrame,
-    pair_id: Sequence[str],
+    pair_id: Sequence[str] = (),
     hypothesis: str = "paraphrase",
     reference: str = "original",
     max_rows: int = VECTOR_ROWS,
 ) -> DataFrame:
     """Add ``score`` to the pairs."""
     return matcher(vectors, max_rows)(pairs, pair_id, hypothesis, reference)
-
-
-def score_by_join(
-    pairs: DataFrame,
-    vectors: DataFrame,
-    pair_id: Sequence[str],
-    hypothesis: str = "paraphrase",
-    reference: str = "original",
-) -> DataFrame:
-    """``greedy_match_f1`` for a settled vector table of any size."""
-    ids = list(pair_id)
-    token = F.explode(
-        F.concat(
-            F.transform(ws_tokens(F.col(hypothesis)), lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))),
-            F.transform(ws_tokens(F.col(reference)), lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))),
-        )
-    )
-    kinds = (
-        pairs.select(*ids, token.alias("t"))
-        .groupBy(*ids, F.col("t.side").alias("side"), F.col("t.token").alias("token"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # One row per distinct token of one pair, so the collected list is bounded by the pair's own texts.
-    gathered = (
-        attach_settled(kinds, vectors, ["token"], "left")
-        .groupBy(*ids)
-        .agg(F.collect_list(F.struct("side", "token", "n", "vector")).alias("_tokens"))
-    )
-
-    @F.pandas_udf("double")
-    def score(tokens: pd.Series) -> pd.Series:
-        def pair(items):
-            width = next((len(i["vector"]) for i in items if i["vector"] is not None), 1)
-
-            def side(number):
-                part = [i for i in items if i["side"] == number]
-                rows = [i["vector"] if i["vector"] is not None else np.zeros(width) for i in part]
-                return (
-                    np.array([i["token"] for i in part], dtype=str),
-                    np.array([i["n"] for i in part]),
-                    unit_rows(np.array(rows, dtype="float64").reshape(len(part), width)),
-                )
-
-            (a, n, x), (b, m, y) = side(0), side(1)
-            return f1(matched_mean(a, n, x, b, y), matched_mean(b, m, y, a, x))
-
-        return pd.Series([pair(items) for items in tokens], dtype="float64")
-
-    scored = gathered.select(*ids, score("_tokens").alias("score"))
-    return pairs.join(scored, ids, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

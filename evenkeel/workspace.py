@@ -55,12 +55,12 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def _width(field: T.StructField) -> Column:
-    """Bytes of one value: those of a string, eight per number, the JSON text of anything else."""
+    """Bytes of one value: those of a string, eight per number (four in arrays of 32-bit ones), the JSON text of anything else."""
     value, kind = F.col(field.name), field.dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.octet_length(value)
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-        return F.size(value) * 8
+        return F.size(value) * (4 if isinstance(kind.elementType, (T.FloatType, T.IntegerType)) else 8)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.octet_length(F.to_json(F.struct(value)))
     return F.lit(8)

@@ -229,3 +229,26 @@ def test_pairs_by_position_are_cut_to_the_shorter_side(spark):
     theirs = spark.createDataFrame([("d", 1, "A"), ("d", 2, "B"), ("d", 3, "C"), ("f", 1, "X")], schema)
     out = quality.pair_by_position(ours, theirs).collect()
     assert sorted((r.paraphrase, r.original, r.position) for r in out) == [("a", "A", 0), ("b", "B", 1)]
+
+
+def test_bleu_tokens_are_those_of_the_columns(spark):
+    from evenkeel.functions.text import bleu_tokens, joined_tokens, ws_tokens
+
+    texts = ["It's 3.5, or 4-5 &lt;b&gt; (x).", "a b c\x1cd \t e", "<skipped>one-\ntwo\nthree", "", "...", "1,000.00 is 5% &amp;amp; more", " end. "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(bleu_tokens(F.col("t")), joined_tokens(F.col("t")), ws_tokens(F.col("t"))).collect()
+    codes = bleu.Tokenizer()
+    for text, (expected, joined, tokens) in zip(texts, rows):
+        ours = codes(text).tolist()
+        names = {n: w for w, n in codes.numbers.items()}
+        assert [names[c] for c in ours] == expected
+        assert joined == " ".join(tokens)
+
+
+def test_no_vector_per_pair_and_token_in_a_shuffle(spark, vectors):
+    table = spark.createDataFrame(list(vectors.items()), "token string, vector array<float>")
+    rows = [("w1 w2", f"w3 w4 w{i % 5}") for i in range(50)]
+    scored = matching.greedy_match_f1(pairs(spark, rows), table, PAIR, max_rows=3)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(_batch" in line]
+    assert len(sent) == 1 and "collect_list" not in plan
