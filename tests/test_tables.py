@@ -200,7 +200,8 @@ def test_encoding(spark):
 
 
 @pytest.mark.parametrize("farthest", [False, True])
-def test_near_miss_blocks_equal_broadcast(spark, farthest):
+def test_near_miss_by_pivots_equals_broadcast(spark, farthest, monkeypatch):
+    monkeypatch.setattr(near_miss, "ROWS_PER_CELL", 8)
     values = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1000)) / 1000).cast("float"))
     df = spark.range(260).select(
         F.when(F.col("id") < 200, "a").otherwise("b").alias("dataset_id"),
@@ -214,7 +215,30 @@ def test_near_miss_blocks_equal_broadcast(spark, farthest):
     assert pieces.select("row_id").exceptAll(whole.select("row_id")).isEmpty() and pieces.count() == 130
     ours = df.where("label = 1").select("dataset_id", "row_id", "vector")
     theirs = df.where("label = 0").select("dataset_id", "row_id", "vector")
-    small = near_miss.distances_by_blocks(ours, theirs, 3, farthest, block_rows=16)
-    large = near_miss.distances_by_broadcast(ours, theirs, 3, farthest)
-    gap = small.join(large.withColumnRenamed("mean_distance", "d"), ["dataset_id", "row_id"])
-    assert gap.count() == 195 and gap.where(F.abs(F.col("d") - F.col("mean_distance")) > 1e-9).isEmpty()
+    large = near_miss.distances_by_broadcast(ours, theirs, 3, farthest).withColumnRenamed("mean_distance", "d").cache()
+    for max_rows in (40, 5):  # several parts, then also several groups of datasets and cells that are cut
+        small = near_miss.distances_by_pivots(ours, theirs, 3, farthest, max_rows)
+        gap = small.join(large, ["dataset_id", "row_id"])
+        assert gap.count() == 195 and gap.where(F.abs(F.col("d") - F.col("mean_distance")) > 1e-9).isEmpty()
+    # The majority is neither copied nor shuffled: only ids and distances are.
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and sum("Exchange hashpartitioning(dataset_id" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("farthest", [False, True])
+def test_cells_out_of_reach_hold_no_partner(farthest):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    others = np.concatenate([rng.normal(c, 0.2, (30, 4)) for c in (0, 3, 9, -6)])
+    points, pivots = rng.normal(0, 4, (50, 4)), others[[0, 31, 62, 93]]
+    cell, distance = near_miss.nearest_pivot(others, pivots)
+    sizes = np.bincount(cell, minlength=4)
+    radii = np.array([distance[cell == c].max() for c in range(4)])
+    for k in (1, 3, 40, 500):
+        reach = near_miss.cells_in_reach(near_miss.to_pivots(points, pivots), sizes, radii, k, farthest)
+        exact = near_miss.to_pivots(points, others)
+        for i in range(len(points)):
+            order = np.argsort(-exact[i] if farthest else exact[i])[:k]
+            assert reach[i, np.unique(cell[order])].all()
+        assert k > 40 or not reach.all()
