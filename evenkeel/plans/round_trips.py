@@ -5,18 +5,22 @@ Files are written to the session's working folder and read back, so the SQL of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.constants import MAX_LENGTH, SCORE_THRESHOLD
-from evenkeel.functions import labels as lab
-from evenkeel.operators import balance, encoding, hooks, metrics, splits
+from evenkeel.constants import MAX_LENGTH, SCORE_THRESHOLD, SEED
+from evenkeel.functions.labels import hash_order
+from evenkeel.operators import balance, encoding, hooks, metrics, splits, upsert
+from evenkeel.operators.ranking import file_positions
 from evenkeel.plans import fragments as sql
 from evenkeel.plans import paraphrase, prepare, queries
 from evenkeel.plans import tables as t
 from evenkeel.plans.ingest import ingest_reviews
 from evenkeel.plans.registry import query
 from evenkeel.sinks.tables import append_generated, materialise, write_report
+from evenkeel.sinks.versions import read_version, upsert_version
 from evenkeel.sources.results import read_generation_log, read_pass_log
 from evenkeel.streaming.generation import generate_stream
 from evenkeel.workspace import new_path, settle
@@ -208,19 +212,33 @@ def encode_duplicated(spark: SparkSession, sf: str) -> DataFrame:
 )
 def shuffled_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Place of every row after the seeded shuffle, as the files of the shuffled rows have it."""
-    from evenkeel.constants import SEED
-    from evenkeel.operators.ranking import file_positions, shuffle_rows
+    from evenkeel.operators.ranking import shuffle_rows
 
     rows = shuffle_rows(t.examples(spark, sf).select("dataset_id", "row_id"), SEED, "dataset_id", "row_id")
     return file_positions(settle(rows, "shuffled"), []).select("row_id", "position")
 
 
+METRIC_LOG = "dataset_id string, macro_f1 double"
+
 PREPARED = f"""parts AS ({queries._split_sql('raw')}),
 train AS (SELECT * FROM parts WHERE split = 'train'),
 {queries._duplicate_sql('train')},
+originals AS (
+  SELECT dataset_id, row_id AS src_id, text, label FROM train JOIN need USING (dataset_id)
+  WHERE label = minority_label AND needed > 0),
+{sql.spoken(15)},
+{sql.FEATURES},
+chosen AS (
+  SELECT dataset_id, src_id, label, row_number() OVER (PARTITION BY dataset_id ORDER BY pass, src_id) AS r
+  FROM features WHERE is_valid AND (CASE WHEN 2 * length(paraphrase) >= length(original) THEN 1.0 ELSE 0.0 END) >= {SCORE_THRESHOLD}),
 kept AS (
   SELECT 'baseline' AS strategy, dataset_id, label, row_id FROM train
-  UNION ALL SELECT 'simple_oversampling', dataset_id, label, row_id FROM doubled),
+  UNION ALL SELECT 'simple_oversampling', dataset_id, label, row_id FROM doubled
+  UNION ALL SELECT 'undersampling', dataset_id, label, row_id FROM (
+    SELECT train.*, minority_count, row_number() OVER (PARTITION BY dataset_id, label ORDER BY {queries.RANDOM_KEY}, row_id) AS r
+    FROM train JOIN need USING (dataset_id)) WHERE r <= minority_count
+  UNION ALL SELECT 'llm_paraphrasing', dataset_id, label, row_id FROM train
+  UNION ALL SELECT 'llm_paraphrasing', c.dataset_id, label, src_id FROM chosen c JOIN need USING (dataset_id) WHERE r <= needed),
 before AS (SELECT dataset_id, label, count(*) AS n_before FROM train GROUP BY ALL),
 after AS (SELECT strategy, dataset_id, label, count(*) AS n_after, sum(row_id)::BIGINT AS ids FROM kept GROUP BY ALL)"""
 
@@ -230,12 +248,52 @@ after AS (SELECT strategy, dataset_id, label, count(*) AS n_after, sum(row_id)::
     + "SELECT strategy, dataset_id, label, n_before, n_after, n_after AS n_stored, ids FROM after JOIN before USING (dataset_id, label)"
 )
 def prepare_strategies(spark: SparkSession, sf: str) -> DataFrame:
-    """Two strategies end to end, each run twice: the second time everything is there already."""
+    """All strategies end to end, each run twice: the second time everything is there already, so its generator is none."""
     root, counts = new_path(spark, "prepared"), []
-    examples = t.examples(spark, sf, t.texts(spark, sf))
-    for strategy in ("baseline", "simple_oversampling"):
-        prepare.prepare(examples, strategy, root)
+    examples = settle(t.examples(spark, sf, t.texts(spark, sf)), "examples")
+    for strategy in ("baseline", "simple_oversampling", "undersampling", "llm_paraphrasing"):
+        generate, score = hooks.expression_generator(t.varied_word_drop), hooks.pair_scorer(_equal_lengths)
+        prepare.prepare(examples, strategy, root, generate, score)
         counts.append(prepare.prepare(examples, strategy, root))
     rows = spark.read.parquet(root).where("split = 'train'").groupBy("strategy", "dataset_id", F.col("label").cast("int").alias("label"))
     rows = rows.agg(F.count(F.lit(1)).alias("n_stored"), F.sum("row_id").alias("ids"))
-    return counts[0].unionByName(counts[1]).join(rows, ["strategy", "dataset_id", "label"])
+    return reduce(DataFrame.unionByName, counts).join(rows, ["strategy", "dataset_id", "label"])
+
+
+@query(
+    sql.with_tables(sql.RAW)
+    + f"""SELECT dataset_id, row_id,
+       row_number() OVER (PARTITION BY dataset_id ORDER BY {sql.order_key("'42:' || dataset_id || ':' || row_id")}, row_id) - 1 AS position
+FROM raw"""
+)
+def stored_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples stored in a seeded order; the position of a row is read off its dataset's files."""
+    root = new_path(spark, "ordered")
+    place = hash_order(SEED, F.col("dataset_id"), F.col("row_id"))
+    materialise(t.examples(spark, sf).select("dataset_id", "row_id", "label", place.alias("place")), root, ["dataset_id"], order="place")
+    read = spark.read.schema("row_id long, label int, place long, dataset_id string").parquet(root)
+    return file_positions(read, ["dataset_id"]).select("dataset_id", "row_id", "position")
+
+
+@query(
+    """WITH latest AS (
+  SELECT o_custkey, o_orderkey % 3 AS turn, arg_max(struct_pack(s := o_orderstatus, p := o_totalprice),
+         struct_pack(d := o_orderdate, k := o_orderkey)) AS last
+  FROM orders GROUP BY ALL)
+SELECT 'cust/' || o_custkey AS dataset_id, last.p AS macro_f1 FROM latest WHERE last.s <> 'F'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY turn DESC) = 1"""
+)
+def upsert_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The metric log over three writes, each a version of its own; read from the version that the manifest names."""
+    root = new_path(spark, "metric-log")
+    value = F.struct("o_orderstatus", "o_totalprice")
+    for turn in range(3):
+        orders = t.table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == turn).groupBy("o_custkey")
+        latest = orders.agg(F.max_by(value, F.struct("o_orderdate", "o_orderkey")).alias("v"))
+        evaluated = latest.select(
+            F.concat(F.lit("cust/"), "o_custkey").alias("dataset_id"),
+            F.col("v.o_totalprice").alias("macro_f1"),
+            (F.col("v.o_orderstatus") != "F").alias("success"),
+        )
+        upsert_version(evaluated, root, METRIC_LOG, upsert.upsert_metrics)
+    return read_version(spark, root, METRIC_LOG)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evenkeel.operators.joining import attach
+from evenkeel.sinks.files import partition_values
 
 ROWS_PER_FILE = 50_000
 DATASET_KEYS = ("strategy", "dataset_id", "split")
@@ -17,19 +18,32 @@ def write_dataset(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def materialise(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS) -> None:
+def stored_keys(spark: SparkSession, root: str, keys: Sequence[str] = DATASET_KEYS) -> DataFrame:
+    """The keys stored under ``root``, as texts, from the names of their folders; no file is opened."""
+    schema = ", ".join(f"`{k}` string" for k in keys)
+    return spark.createDataFrame(partition_values(spark, root, list(keys)), schema)
+
+
+def materialise(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS, order: str | None = None) -> None:
     """Write the datasets that are not there yet, one folder per key; present ones stay untouched.
 
-    Rows are rebalanced by key, so small datasets end in one file each and a huge one is split over many tasks.
+    Without ``order`` rows are rebalanced by key, so small datasets end in one file each and a huge one is split over many tasks. With it, rows
+    are sorted by key and ``order`` in ranges that become files: a key's files, by the number in their names, hold its rows in order.
     """
     keys = list(keys)
-    try:
-        present = df.sparkSession.read.schema(df.schema).parquet(root).select(*keys).distinct()
-        df = attach(df, present, keys, "left_anti")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(root)
+    present = stored_keys(df.sparkSession, root, keys)
+    if not present.isEmpty():
+        typed = [F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]
+        df = attach(df, present.select(*typed), keys, "left_anti")
+    dealt = df.hint("rebalance", *keys) if order is None else df.orderBy(*keys, order)
+    dealt.write.mode("append").partitionBy(*keys).parquet(root)
+
+
+def replace_keys(df: DataFrame, root: str, keys: Sequence[str] = DATASET_KEYS, order: str | None = None) -> None:
+    """Write the datasets of ``df``, replacing what an interrupted run left in their folders; other folders stay."""
+    keys = list(keys)
+    dealt = df.hint("rebalance", *keys) if order is None else df.orderBy(*keys, order)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root)
 
 
 def append_generated(generated: DataFrame, log_path: str) -> None:

@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenkeel.operators.hooks import Generator
-from evenkeel.operators.joining import pending
-from evenkeel.sinks.tables import append_generated
 from evenkeel.sources.results import read_generation_log
 
+KEYS = ["dataset_id", "src_id"]
 SAMPLE_SCHEMA = "dataset_id string, src_id long, text string, label int"
 
 
+def first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first sample of a key that is neither logged nor seen before; later ones find its state."""
+    if state.exists:
+        return
+    first, logged = None, False
+    for part in parts:  # of a key with very many samples one row is kept
+        logged = logged or bool(part["logged"].any())
+        own = part[["dataset_id", "src_id", "text", "label"]]
+        first = (own if first is None else pd.concat([first, own])).sort_values(["text", "label"]).head(1)
+    state.update((True,))
+    if not logged:
+        yield first
+
+
+def _logged_before(spark: SparkSession, log_path: str, checkpoint: str, pass_no: int) -> str:
+    """A folder with the keys that were logged when this checkpoint was new. It is written once and read by the first batch."""
+    seed = f"{checkpoint.rstrip('/')}/logged-before"
+    try:
+        spark.read.parquet(seed)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        keys = read_generation_log(spark, log_path).where(F.col("pass") == pass_no).select(*KEYS).distinct()
+        keys.write.mode("overwrite").parquet(seed)
+    return seed
+
+
+def write_batch(generated: DataFrame, log_path: str, pass_no: int, name: str) -> None:
+    """One folder per batch: a batch that is run again replaces what it had written."""
+    generated.select(*KEYS, "text", "label").write.mode("overwrite").parquet(f"{log_path}/pass={pass_no}/{name}")
+
+
 def generate_stream(
     spark: SparkSession,
     source: str,
@@ -24,18 +60,26 @@ def generate_stream(
 ):
     """Log a paraphrase of every sample under ``source`` (Parquet) and stop when all files are read.
 
-    Files are taken in small batches and each batch is logged before the next begins. After an interruption the
-    stream goes on with the first unfinished batch; rows of it that reached the log are not generated again.
+    Files are taken in small batches, and each batch is logged in a folder of its own before the next begins. The keys that were seen are
+    the stream's state, kept with the checkpoint, so a batch reads its own samples and no log. After an interruption the stream
+    goes on with the first unfinished batch and replaces its folder. Under a new checkpoint the keys that the log has are read
+    once, as the first batch's input, into the state. Of several samples with one key one is generated.
     """
+    seed = _logged_before(spark, log_path, checkpoint, pass_no)
+    samples = spark.readStream.schema(SAMPLE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    logged = spark.readStream.schema("dataset_id string, src_id long").parquet(seed)
+    nothing = [F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("label"), F.lit(True).alias("logged")]
+    both = samples.withColumn("logged", F.lit(False)).unionByName(logged.select(*KEYS, *nothing))
+    fresh = both.groupBy(*KEYS).applyInPandasWithState(first_of_key, SAMPLE_SCHEMA, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
-    def log_batch(batch: DataFrame, _batch_id: int) -> None:
-        logged = read_generation_log(batch.sparkSession, log_path).where(F.col("pass") == pass_no)
-        todo = pending(batch, logged, ["dataset_id", "src_id"]).withColumn("pass", F.lit(pass_no))
-        append_generated(generate(todo), log_path)
+    def log_batch(batch: DataFrame, batch_id: int) -> None:
+        # The id of a query stays with its checkpoint, so another checkpoint's batches have other folders.
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_batch(generate(batch.withColumn("pass", F.lit(pass_no))), log_path, pass_no, f"stream-{query_id}-{batch_id:06d}")
 
-    samples = spark.readStream.schema(SAMPLE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (
-        samples.writeStream.foreachBatch(log_batch)
+        fresh.writeStream.foreachBatch(log_batch)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

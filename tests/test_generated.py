@@ -215,6 +215,39 @@ def test_stream_is_resumable(spark, tmp_path):
     assert read_generation_log(spark, log).count() == 20
 
 
+def test_stream_batches_read_no_log_and_replace_their_folder(spark, tmp_path):
+    import os
+    import shutil
+
+    source, log, checkpoint = (str(tmp_path / n) for n in ("source", "log", "checkpoint"))
+    samples = corpus(spark, {"a": (6, 6)}).select("dataset_id", F.col("row_id").alias("src_id"), "text", "label")
+    samples.repartition(3).write.parquet(source)
+    seen = []
+
+    def watched(batch):
+        seen.append(batch._jdf.queryExecution().toString())
+        return echo(batch)
+
+    generate_stream(spark, source, watched, log, checkpoint)
+    folders = sorted(f for f in os.listdir(f"{log}/pass=0") if f.startswith("stream-"))
+    assert len(folders) == len(seen) >= 3 and not any(log in plan for plan in seen)
+    before = sorted(map(tuple, read_generation_log(spark, log).collect()))
+    # The last batch is run again, as after an interruption between its write and its commit; duplicates come with it.
+    last = max(int(f) for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
+    os.rename(f"{checkpoint}/commits/{last}", str(tmp_path / "commit"))
+    crc = f"{checkpoint}/commits/.{last}.crc"
+    if os.path.exists(crc):
+        os.rename(crc, str(tmp_path / "crc"))
+    samples.where("src_id < 3").withColumn("text", F.lit("again")).write.mode("append").parquet(source)
+    # Rows that an earlier run of the batch left behind are replaced.
+    kept = f"{log}/pass=0/{folders[-1]}"
+    for name in os.listdir(kept):
+        if name.endswith(".parquet"):
+            shutil.copy(f"{kept}/{name}", f"{kept}/copy-{name}")
+    generate_stream(spark, source, echo, log, checkpoint)
+    assert sorted(map(tuple, read_generation_log(spark, log).collect())) == before
+
+
 def test_report_on_log(spark):
     df = corpus(spark, {"a": (3, 0)}).select("dataset_id", F.col("row_id").alias("src_id"), "text", "label")
     log = df.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
