@@ -90,7 +90,10 @@ def corpus_bleu(
     reference: str = "original",
 ) -> DataFrame:
     """``bleu`` times 100 per key. It is 0 as soon as one order has no match or the hypotheses are empty."""
-    counts = ngram_counts(pairs, keys, hypothesis, reference)
+    return bleu_of_counts(ngram_counts(pairs, keys, hypothesis, reference), keys)
+
+
+def bleu_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     sums = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumnRenamed("r1", "reference_length")
     logs = sum(
         (F.log(F.col(f"m{n}") / F.col(f"p{n}")) for n in range(2, BLEU_ORDER + 1)),

@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from evenkeel.constants import SCORE_THRESHOLD
 from evenkeel.functions.text import content_of, content_overlap, is_valid_from, length_ratio, ws_tokens
-from evenkeel.operators.bleu import corpus_bleu
+from evenkeel.operators.bleu import bleu_of_counts, ngram_counts
 from evenkeel.operators.ranking import row_positions
+from evenkeel.workspace import settle
 
 
 def pair_by_position(
-    paraphrases: DataFrame, originals: DataFrame, by: Sequence[str] = ("dataset_id",), order: str = "row_id"
+    paraphrases: DataFrame,
+    originals: DataFrame,
+    by: Sequence[str] = ("dataset_id",),
+    order: str = "row_id",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Pair the i-th paraphrase of a dataset with its i-th original; the longer side is cut to the shorter.
 
-    Only ids are sorted and paired; the texts are joined to the paired ids.
+    ``within`` names columns, such as the pass, in which paraphrases are counted apart; each of these series meets the same
+    originals, which are counted once. Only ids are sorted and paired; the texts are joined to the paired ids.
     """
-    by = list(by)
+    by, series = list(by), [*by, *within]
     theirs_id = "_original_id"
     originals = originals.withColumnsRenamed({order: theirs_id, "text": "original"})
-    ours = row_positions(paraphrases.select(*by, order), by, [order])
+    ours = row_positions(paraphrases.select(*series, order), series, [order])
     theirs = row_positions(originals.select(*by, theirs_id), by, [theirs_id])
     paired = ours.join(theirs, [*by, "position"])
-    with_ours = paraphrases.withColumnRenamed("text", "paraphrase").join(paired, [*by, order])
+    with_ours = paraphrases.withColumnRenamed("text", "paraphrase").join(paired, [*series, order])
     return with_ours.join(originals.select(*by, theirs_id, "original"), [*by, theirs_id]).drop(theirs_id)
 
 
@@ -72,10 +78,16 @@ def pass_quality(
     keys: Sequence[str] = ("dataset_id", "pass"),
     threshold: float = SCORE_THRESHOLD,
 ) -> DataFrame:
-    """Acceptance per pass with the BLEU of the accepted pairs."""
+    """Acceptance per pass with the BLEU of the accepted pairs.
+
+    The pairs are read once: what is written down per pair is its score and, if it is accepted, its n-gram counts, no texts.
+    """
     keys = list(keys)
-    bleu = corpus_bleu(scored.where(F.col("score") >= threshold), keys, pair_id)
-    return acceptance_per_pass(scored, keys, threshold).join(bleu.select(*keys, "bleu"), keys)
+    accepted = F.col("score") >= threshold
+    texts = [F.when(accepted, F.col(c)).alias(c) for c in ("paraphrase", "original")]
+    counts = settle(ngram_counts(scored.select(*keys, "score", *texts), [*keys, "score"]), "scored")
+    bleu = bleu_of_counts(counts.where(accepted), keys)
+    return acceptance_per_pass(counts, keys, threshold).join(bleu.select(*keys, "bleu"), keys)
 
 
 def quality_report(per_pass: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.labels import key_author, key_name
+from evenkeel.functions.labels import dataset_key, key_author, key_name
 from evenkeel.operators.joining import attach
 from evenkeel.operators.ranking import first_match
 
@@ -62,6 +62,34 @@ def resolve_author(df: DataFrame, config: DataFrame, key: str = "key") -> DataFr
     return out.select(*df.columns, F.coalesce("_given", "_known").alias("author"), "name")
 
 
+def resolve_names(df: DataFrame, config: DataFrame, key: str = "key") -> DataFrame:
+    """``resolve_author`` that tells how a key was resolved.
+
+    ``resolution`` is ``given`` for 'author/name', ``known`` for a bare name of one author, ``ambiguous`` for a name of several and
+    ``unknown`` for any other; the last two have no author.
+    """
+    authors = config.groupBy("name").agg(F.max("author").alias("_known"), F.count_distinct("author").alias("_authors"))
+    named = df.withColumn("name", key_name(F.col(key))).withColumn("_given", key_author(F.col(key)))
+    out = attach(named, authors, ["name"], "left")
+    resolution = (
+        F.when(F.col("_given").isNotNull(), "given")
+        .when(F.col("_authors") == 1, "known")
+        .when(F.col("_authors") > 1, "ambiguous")
+        .otherwise("unknown")
+    )
+    author = F.when(resolution == "known", F.col("_known")).otherwise(F.col("_given"))
+    return out.select(*df.columns, author.alias("author"), "name", resolution.alias("resolution"))
+
+
+def named_metrics_with_ratio(metrics: DataFrame, config: DataFrame, distribution: DataFrame, key: str = "key") -> DataFrame:
+    """Metrics under full or bare names with their dataset's imbalance ratio, lowest Macro-F1 first.
+
+    The ratio is null where the name could not be resolved or its dataset has none.
+    """
+    resolved = resolve_names(metrics, config, key).withColumn("dataset_id", dataset_key(F.col("author"), F.col("name")))
+    return metrics_with_ratio(resolved, distribution)
+
+
 def select_datasets(df: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     """Rows of the given datasets; no list or an empty one means all."""
     return df.where(F.col("dataset_id").isin(list(ids))) if ids else df

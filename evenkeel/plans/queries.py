@@ -612,7 +612,7 @@ FROM acceptance JOIN bleu USING (dataset_id, pass) GROUP BY dataset_id"""
 )
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     scored = matching.greedy_match_f1(t.pairs(spark, sf), t.token_vectors(spark, sf), PAIR)
-    return quality.quality_report(quality.pass_quality(settle(scored, "scored"), PAIR))
+    return quality.quality_report(quality.pass_quality(scored, PAIR))
 
 
 @query(
@@ -808,10 +808,10 @@ def _published(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     sql.with_tables(sql.PREDICTIONS, sql.LABEL_SCORES, sql.REPORT)
     + """SELECT dataset_id AS dataset, strategy AS method, round(macro_f1, 6) AS macro_f1,
-       round(abs(tpr_class_0 - tpr_class_1), 6) AS tpr_gap FROM report WHERE strategy IN ('simple_oversampling', 'UBR')"""
+       round(abs(tpr_class_0 - tpr_class_1), 6) AS tpr_gap FROM report WHERE strategy IN ('simple_oversampling', 'baseline')"""
 )
 def published_methods(spark: SparkSession, sf: str) -> DataFrame:
-    methods = reshape.select_methods(reshape.flatten_methods(_published(spark, sf)), ["simple_oversampling", "UBR"])
+    methods = reshape.select_methods(reshape.flatten_methods(_published(spark, sf)), ["simple_oversampling", "baseline"])
     return methods.select("dataset", "method", F.round("macro_f1", 6).alias("macro_f1"), F.round("tpr_gap", 6).alias("tpr_gap"))
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from evenkeel.constants import EXTRA_LINE_BREAKS
 from evenkeel.functions.labels import binarise_rating, binarise_score, is_opinion
 from evenkeel.operators.joining import attach
-from evenkeel.workspace import settle
+from evenkeel.workspace import settle, shuffle_partitions
 
 
 def read_reviews_json(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """``overall`` and ``reviewText`` of every line; a malformed line is an error, a missing text is ''.
 
-    A gzip file is read by one task, so ``partitions`` spreads the rows afterwards.
+    A gzip file is read by one task; its rows are spread afterwards, over ``partitions`` or else the session's shuffle partitions.
     """
     reader = spark.read.schema("overall double, reviewText string").option("mode", "FAILFAST")
     rows = reader.json(path).fillna({"reviewText": ""})
-    return rows.repartition(partitions) if partitions else rows
+    zipped = any(name.endswith(".gz") for name in rows.inputFiles())
+    return rows.repartition(partitions or shuffle_partitions(spark)) if partitions or zipped else rows
 
 
 def labelled_reviews(reviews: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def labelled_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their 0-based number.
+    """Lines of a text file, or of a folder of files in the order of their names, with their 0-based number.
 
-    A file is read in blocks; within a block the rows come in order, so a line's number is its place in its
+    Files are read in blocks; within a block the rows come in order, so a line's number is its place in its
     block plus the lines of the blocks before. Only one row per block is sorted. Besides line feeds, the
     Unicode line breaks end a line, too.
     """
@@ -42,7 +43,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     # Written down, because the generated ids depend on how this one read was cut into tasks.
     lines = settle(raw.withColumn("_id", F.monotonically_increasing_id()), "lines")
     blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_from"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from")
     placed = attach(lines, blocks.select("_file", "_block", shift.alias("_shift")), ["_file", "_block"])
     return placed.select((F.col("_id") + F.col("_shift")).alias("row_id"), "value")

@@ -285,3 +285,13 @@ def test_no_vector_per_pair_and_token_in_a_shuffle(spark, vectors):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(_batch" in line]
     assert len(sent) == 1 and "collect_list" not in plan
+
+
+def test_passes_are_paired_by_position_one_by_one(spark):
+    ours = spark.createDataFrame(
+        [("d", 0, 4, "a"), ("d", 0, 9, "b"), ("d", 1, 2, "c"), ("d", 1, 3, "e"), ("d", 1, 8, "f"), ("x", 0, 1, "g")],
+        "dataset_id string, pass int, row_id long, text string",
+    )
+    theirs = spark.createDataFrame([("d", 7, "A"), ("d", 5, "B")], "dataset_id string, row_id long, text string")
+    out = quality.pair_by_position(ours, theirs, within=["pass"]).collect()
+    assert sorted((r["pass"], r.row_id, r.paraphrase, r.original) for r in out) == [(0, 4, "a", "B"), (0, 9, "b", "A"), (1, 2, "c", "B"), (1, 3, "e", "A")]

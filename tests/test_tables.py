@@ -242,3 +242,20 @@ def test_cells_out_of_reach_hold_no_partner(farthest):
             order = np.argsort(-exact[i] if farthest else exact[i])[:k]
             assert reach[i, np.unique(cell[order])].all()
         assert k > 40 or not reach.all()
+
+
+def test_names_of_two_authors_are_reported(spark):
+    config = spark.createDataFrame([("ann", "one"), ("ann", "two"), ("bob", "two"), ("bob", "three")], "author string, name string")
+    rows = spark.createDataFrame([("one", 0.5), ("two", 0.4), ("bob/two", 0.3), ("none", 0.2), ("eve/new", 0.1)], "key string, macro_f1 double")
+    known = spark.createDataFrame([("ann/one", 2.0), ("ann/two", 3.0), ("bob/two", 4.0)], "dataset_id string, imbalance_ratio double")
+    out = reshape.named_metrics_with_ratio(rows, config, known).collect()
+    assert [(r.key, r.resolution, r.imbalance_ratio) for r in out] == [
+        ("eve/new", "given", None), ("none", "unknown", None), ("bob/two", "given", 4.0), ("two", "ambiguous", None), ("one", "known", 2.0)
+    ]
+
+
+def test_lines_of_a_folder_are_numbered_in_file_order(spark, tmp_path):
+    folder = str(tmp_path / "lines")
+    spark.range(300).repartitionByRange(5, "id").sortWithinPartitions("id").select(F.col("id").cast("string").alias("value")).write.text(folder)
+    out = reviews.read_lines(spark, folder).collect()
+    assert len(out) == 300 and all(str(r.row_id) == r.value for r in out)
