@@ -5,8 +5,8 @@ word is the sum over all ways to cut it into pieces, found by a forward pass; a
 words' logarithms. The piece probabilities are fitted by expectation maximisation over all segmentations of the words of
 a bounded sample of labelled rows. Every byte is a piece, so every text has a score in every language.
 
-Words are the white-space separated parts of the lower-cased text with a blank before them; a word is cut every
-``WORD_BYTES`` bytes first, and no segmentation crosses such a cut. Texts that are null or hold no letter are ``und``
+Words are the white-space separated parts of the lower-cased text with a blank before them; a word of more than ``WORD_BYTES`` bytes, as in
+scripts without spaces, is cut between characters into parts of at most so many, and no segmentation crosses such a cut. Texts that are null or hold no letter are ``und``
 with score 0, as is every text when nothing could be learned. Rows with a null language teach nothing; languages that
 differ in any character are different; between equal scores the first in code-point order wins; equal texts get equal
 predictions.
@@ -31,8 +31,8 @@ UNDETERMINED = "und"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Expected number of labelled rows taken per language; above it, rows are chosen by the hash of key and text.
 ROWS_PER_LANGUAGE = 4_000
-#: The model and its counts have one number per piece and language, so this bounds what reaches the driver.
-MAX_LANGUAGES = 500
+#: The model and its counts have one number per piece and language; this bounds what reaches the driver, about 1,300 languages.
+MODEL_BYTES = 512 << 20
 WORD_BYTES = 48
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -90,10 +90,21 @@ class Pieces:
 def words_of(text: bytes) -> list[bytes]:
     words = [b" " + w for w in text.decode("utf-8", "replace").lower().encode().split()]
     if max(map(len, words), default=0) > WORD_BYTES:
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+        words = [part for w in words for part in character_parts(w)]
     return words
 
 
+def character_parts(word: bytes) -> Iterator[bytes]:
+    """A word in parts of at most ``WORD_BYTES`` bytes, cut between characters."""
+    start = 0
+    while start < len(word):
+        end = min(len(word), start + WORD_BYTES)
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[start:end]
+        start = end
+
+
 def spans(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """For words of one length: piece id of [start, start + size] at [size - 1, start, word], ``none`` if there is none."""
     n = len(words[0])
@@ -136,25 +147,28 @@ def by_length(words: list[bytes]) -> Iterator[list[int]]:
 
 
 def expected_counts(words: list[bytes], languages: np.ndarray, counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language over all segmentations of the words."""
+    """Expected uses of each piece in each language over all segmentations of the words.
+
+    Sums are kept as logarithms, so words of rare pieces do not underflow.
+    """
     total = np.zeros(p.shape)
     for places in by_length(words):
         own = np.array(places)
         lang, table = languages[own], spans([words[i] for i in places], pieces)
         wide, n, m = table.shape
-        q = p[table, lang]
-        alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
-        alpha[0] = beta[n] = 1.0
+        with np.errstate(divide="ignore"):
+            q = np.log(p[table, lang])
+        alpha, beta = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        alpha[0] = beta[n] = 0.0
         for end in range(1, n + 1):
             for k in range(1, min(end, wide) + 1):
-                alpha[end] += alpha[end - k] * q[k - 1, end - k]
+                alpha[end] = np.logaddexp(alpha[end], alpha[end - k] + q[k - 1, end - k])
         for start in range(n - 1, -1, -1):
             for k in range(1, min(n - start, wide) + 1):
-                beta[start] += beta[start + k] * q[k - 1, start]
-        weight = counts[own] / alpha[n]
+                beta[start] = np.logaddexp(beta[start], beta[start + k] + q[k - 1, start])
         for start in range(n):
             for k in range(1, min(n - start, wide) + 1):
-                uses = weight * alpha[start] * q[k - 1, start] * beta[start + k]
+                uses = counts[own] * np.exp(alpha[start] + q[k - 1, start] + beta[start + k] - alpha[n])
                 np.add.at(total, (table[k - 1, start], lang), uses)
     total[-1] = 0
     return total
@@ -188,10 +202,11 @@ def fit(
     rounds: int = 3,
     smoothing: float = 0.05,
     vocabulary: str | None = None,
-    max_languages: int = MAX_LANGUAGES,
+    max_languages: int | None = None,
 ) -> LanguageModel:
     """Fit the piece probabilities on labelled rows; a bounded sample of rows per language is enough for its pieces."""
     pieces = Pieces.load(vocabulary or vocabulary_path(VOCABULARY))
+    max_languages = max_languages or MODEL_BYTES // (8 * pieces.none)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), (key if key is not None else F.col(text)).alias("key"))
     chosen = sample_rows(rows.where("text is not null and lang is not null"), "lang", F.col("key"), rows_per_language, max_languages)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.llm import language
-from evenkeel.llm.common import held_out
+from evenkeel.llm.common import held_out, vocabulary_path
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,3 +85,31 @@ def test_odd_texts(spark):
     assert language.predict(train.limit(0), model).count() == 0
     with pytest.raises(ValueError):
         language.fit(train, max_languages=1)
+
+
+def test_rare_long_words_do_not_underflow():
+    pieces = language.Pieces.load(vocabulary_path(language.VOCABULARY))
+    common, rare = b" the", " \u1200\u1348\u1290".encode() + "\u1240\u1350".encode() * 7
+    p = np.full((pieces.none + 1, 1), 1e-11)
+    p[pieces.find(np.array([pieces.hashes[0]]))] = 0.5
+    p[-1] = 0
+    counts = language.expected_counts([common, rare], np.zeros(2, int), np.array([3e7, 1.0]), pieces, p)
+    assert np.isfinite(counts).all() and counts.sum() > 3e7
+    # With a vanishing probability for every piece the counts are still those of the likeliest cuts: every byte is used once.
+    lengths = np.array([len(x) for x in pieces_of(pieces)])
+    assert counts[:-1, 0] @ lengths == pytest.approx(3e7 * len(common) + len(rare))
+
+
+def pieces_of(pieces):
+    import base64
+
+    with open(vocabulary_path(language.VOCABULARY), "rb") as lines:
+        own = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
+    return list(dict.fromkeys([*own, *(bytes([b]) for b in range(256))]))
+
+
+def test_long_words_are_cut_between_characters():
+    word = (" " + "\u4e2d\u56fd" * 100 + "a\U0001f600" * 30).encode()
+    parts = list(language.character_parts(word))
+    assert b"".join(parts) == word and max(map(len, parts)) <= language.WORD_BYTES
+    assert all(part.decode() for part in parts)

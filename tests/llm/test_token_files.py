@@ -54,3 +54,21 @@ def test_counts_of_documents(spark):
     assert found == {i if i != 2 else None: len(encoder.ids((t or "").encode())) for i, t in enumerate(texts)}
     assert token_files.write_token_files(docs.limit(0)).count() == 0
     assert len(rows) == 5 and all(r["ended"] for r in rows)
+
+
+def test_long_texts_have_the_ids_of_the_whole_text():
+    import random
+
+    from evenkeel.llm import tokens
+    from evenkeel.llm.common import vocabulary_path
+
+    rng, encoder = random.Random(8), tokens.Encoder(vocabulary_path(tokens.VOCABULARY))
+    bits = ["word", " ", "  ", "\n", "\n\n ", "it's", "42", "1.5", "\u4e2d\u56fd", "\u0661\u0662", "!?", "\u00e9t\u00e9", "\t", "x'", "'ll", "\u2167", "\U0001f600"]
+    for part in (1, 7, 50):
+        for _ in range(40):
+            text = "".join(rng.choices(bits, k=rng.randint(0, 200)))
+            ends = tokens.cuts(text, part) if text else []
+            pieces = [encoder.encoding.encode_ordinary(text[a:b]) for a, b in zip([0, *ends], ends)]
+            assert sum(pieces, []) == encoder.encoding.encode_ordinary(text)
+    long = "some words and 'more, 12.5 of them " * 9_000
+    assert encoder.ids(long.encode()).tolist() == encoder.encoding.encode_ordinary(long)
