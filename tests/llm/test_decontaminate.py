@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -106,3 +107,71 @@ def test_longest_matches(spark):
     b = spark.createDataFrame([("i", "start " + " ".join(f"w{i}" for i in range(20)))], "item_id string, text string")
     (m,) = dc.match(d, b).select(F.explode("matches").alias("m")).select("m.*").collect()
     assert (m["item_start"], m["start"], m["length"]) == (1, 2, 20)
+
+
+def plain_matches(docs, items, window=10):
+    """All longest matches: runs on a diagonal that hold a window and cannot be made longer."""
+    out = []
+    for d, t in docs:
+        own = words(t)
+        for item, text in items:
+            w = words(text)
+            size = min(window, len(w))
+            for p in range(len(w) if size else 0):
+                for s in range(len(own)):
+                    if size < window and own[s : s + size] == w and p == 0:
+                        out.append((str(d), item, 0, s, size))
+                    elif size == window and not (p and s and w[p - 1] == own[s - 1]):
+                        n = 0
+                        while p + n < len(w) and s + n < len(own) and w[p + n] == own[s + n]:
+                            n += 1
+                        if n >= size:
+                            out.append((str(d), item, p, s, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_words", [dc.BLOCK_WORDS, 25])
+def test_longest_matches_equal_brute_force(spark, block_words):
+    rng = random.Random(7)
+    items = [(f"i{k}", " ".join(rng.choice("ab") for _ in range(rng.choice((1, 3, 10, 14, 40))))) for k in range(8)]
+    items += [("same", "a " * 25), ("turns", "a b " * 12)]
+    docs = [(k, " ".join(rng.choice("ab" if k % 2 else "abc") for _ in range(90))) for k in range(6)] + [(7, "a " * 60), (8, "b a " * 30), (9, "a " * 9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    rows = dc.match(d, b, block_words=block_words).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect()
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in rows) == plain_matches(docs, items)
+
+
+def test_repeated_words_cost_what_they_match():
+    """An item of 5,000 equal words against a text of 20,000: as many matches as diagonals, in little memory."""
+    items = dc.Items(["same"], [b"a " * 5_000], dc.WINDOW)
+    ids = np.append(np.zeros(20_000, np.int32), -1).astype(np.int32)
+    tracemalloc.start()
+    found = dc.find(items, ids, np.zeros(len(ids), np.int64), np.zeros(1, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found["length"]) == 20_000 + 5_000 - 2 * dc.WINDOW + 1
+    assert found["length"].max() == 5_000 and found["length"].min() == dc.WINDOW
+    assert peak < 40 << 20
+
+
+def test_blocks_are_bounded_and_read_one_by_one(spark):
+    benchmark = spark.createDataFrame([(f"i{k}", f"u{k} v{k} w{k} " * 4) for k in range(50)] + [("long", "x " * 100)], "item_id string, text string")
+    blocks = dc.benchmark_blocks(benchmark, "item_id", "text", dc.WINDOW, 30)
+    assert iter(blocks) is blocks  # the driver holds none but the one it asks for
+    sizes = [(len(b.item_ids), sum(len(w[2]) for w in b.windows)) for b in blocks]
+    assert sum(n for n, _ in sizes) == 51 and max(n for n, _ in sizes) == 2
+
+
+def test_earlier_matches_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs, items = cases(9)
+    monkeypatch.setattr(dc, "fits_broadcast", lambda settled: False)
+    assert found(spark, docs, items, block_words=60) == plain(docs, items)
+
+
+def test_a_kept_column_may_have_any_name(spark):
+    d = spark.createDataFrame([(1, "b c", "k")], "doc_id long, text string, _text string")
+    b = spark.createDataFrame([("i", "b c"), ("j", "q r")], "item_id string, text string")
+    for block_words in (dc.BLOCK_WORDS, 2):
+        (row,) = dc.match(d, b, keep=("_text",), block_words=block_words).collect()
+        assert row["_text"] == "k" and len(row["matches"]) == 1
