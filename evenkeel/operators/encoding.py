@@ -9,7 +9,7 @@ from evenkeel.constants import MAX_LENGTH
 from evenkeel.functions.text import ws_tokens
 from evenkeel.operators.joining import attach_settled
 from evenkeel.operators.ranking import row_positions
-from evenkeel.workspace import BROADCAST_ROWS, settle, shuffle_partitions
+from evenkeel.workspace import BROADCAST_ROWS, fits_broadcast, settle
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 
@@ -46,6 +46,22 @@ def fixed_length(df: DataFrame, ids: str = "ids", max_length: int = MAX_LENGTH)
     )
 
 
+def tiers(vocabulary: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The smallest ids of a settled vocabulary that may be broadcast, by measured rows and bytes, and the rest, if any.
+
+    Ids of a learned vocabulary fall with frequency, so the first part serves nearly all tokens. Any other ids are right too.
+    """
+    if fits_broadcast(vocabulary, max_rows):
+        return vocabulary, None
+    bound = max_rows
+    while True:
+        near = F.coalesce(F.col("token_id").between(FIRST_ID, FIRST_ID + bound - 1), F.lit(False))
+        head = vocabulary.where(near)
+        if not bound or fits_broadcast(head, max_rows):
+            return head, vocabulary.where(~near)
+        bound //= 2
+
+
 def encode_fixed(
     df: DataFrame,
     max_length: int = MAX_LENGTH,
@@ -57,30 +73,27 @@ def encode_fixed(
 
     Every row is encoded by itself, whatever ids it shares with others, as copies and paraphrases do: the rows are settled
     with a number of their own. The vocabulary is learned from the texts unless one (token, token_id) is given, as
-    for a test part. Texts are shuffled once by row; with a vocabulary of proven small size their tokens get their ids and are put together
-    again inside that partitioning. A larger one is joined with hot tokens apart from the rest. At most
-    ``max_length`` ids of one row are collected.
+    for a test part. Texts are never shuffled: frequent tokens get their ids where the text is, by broadcast. Of the other
+    tokens one row per text and token, with its places, meets the rest of the vocabulary. Ids are put together by row number, at most
+    ``max_length`` of a row, and the other columns join them there.
     """
     others = [c for c in df.columns if c != text]
     df = settle(df.withColumn("_row", F.monotonically_increasing_id()), "to-encode")
     vocabulary = learn_vocabulary(df, text) if vocabulary is None else vocabulary
-    vocabulary = settle(vocabulary.select("token", "token_id"), "vocabulary")
-    partitions = shuffle_partitions(df.sparkSession)
-    tokens = df.repartition(partitions, "_row").select(
-        "_row", *others, F.posexplode_outer(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token")
-    )
-    known = F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
-    encoded = (
-        attach_settled(tokens, vocabulary, ["token"], "left", max_rows)
-        .groupBy("_row")
-        .agg(
-            *[F.first(c).alias(c) for c in others],
-            F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), known))).alias("_ids"),
-        )
-        .withColumn("_ids", F.col("_ids.id"))
-        .drop("_row")
-    )
-    return fixed_length(encoded, "_ids", max_length)
+    head, tail = tiers(settle(vocabulary.select("token", "token_id"), "vocabulary"), max_rows)
+    tokens = df.select("_row", F.posexplode(F.slice(ws_tokens(F.col(text)), 1, max_length)).alias("_pos", "token"))
+    coded = tokens.join(F.broadcast(head), "token", "left")
+    known = F.coalesce("token_id", F.lit(UNKNOWN)).alias("_id")
+    if tail is None:
+        ids = coded.select("_row", "_pos", known)
+    else:
+        rare = coded.where("token_id is null").groupBy("_row", "token").agg(F.collect_list("_pos").alias("_places"))
+        found = attach_settled(settle(rare, "rare-tokens"), settle(tail, "rare-vocabulary"), ["token"], "left", max_rows)
+        ids = coded.where("token_id is not null").select("_row", "_pos", known)
+        ids = ids.unionByName(found.select("_row", F.explode("_places").alias("_pos"), known))
+    lists = ids.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_id")))["_id"].alias("_ids"))
+    encoded = df.select("_row", *others).join(lists, "_row", "left").drop("_row")
+    return fixed_length(encoded.withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>"))), "_ids", max_length)
 
 
 def feature_view(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import gzip
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +201,38 @@ def test_encoding(spark):
     assert encoding.feature_view(df).columns == ["labels"]
 
 
+@pytest.mark.parametrize("max_rows", [10, 1_000])
+def test_encoding_in_two_tiers(spark, max_rows, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[: rng.choice((3, 12, 40))]) for _ in range(rng.randrange(30))) for _ in range(60)] + [None, "", "w1 " * 500, "w39 " * 500]
+    df = spark.createDataFrame([("d", i // 2, x) for i, x in enumerate(texts)], "dataset_id string, row_id long, text string")
+    counts = Counter(w for x in texts for w in (x or "").split())
+    ids = {w: n + encoding.FIRST_ID for n, (w, _) in enumerate(sorted(counts.items(), key=lambda e: (-e[1], e[0])))}
+    plans, write = [], encoding.settle
+
+    def watched(rows, label="table"):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString() if label == "rare-tokens" else "")
+        return write(rows, label)
+
+    monkeypatch.setattr(encoding, "settle", watched)
+    out = encoding.encode_fixed(df, 16, max_rows=max_rows)
+    want = [(i // 2, [ids[w] for w in (x or "").split()][:16]) for i, x in enumerate(texts)]
+    got = [(r.row_id, r.input_ids[: sum(r.attention_mask)]) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    # What is shuffled has been cut into tokens or ids: no exchange lies between a scan of texts and the split.
+    scans = 0
+    for plan in [*plans, out._jdf.queryExecution().executedPlan().toString()]:
+        lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
+        for at, line in enumerate(lines):
+            if "Scan parquet" in line and "text#" in line.split("]")[0]:
+                above = next(x for x in reversed(lines[:at]) if x.startswith(("Generate", "Exchange", "BroadcastExchange")))
+                assert above.startswith("Generate")
+                scans += 1
+    assert scans
+    assert any(plans) == (max_rows < len(ids))
+
+
 @pytest.mark.parametrize("farthest", [False, True])
 def test_near_miss_by_pivots_equals_broadcast(spark, farthest, monkeypatch):
     monkeypatch.setattr(near_miss, "ROWS_PER_CELL", 8)
