@@ -157,7 +157,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that occur before, exactly or nearly."""
-    return lines.deduplicate(table(spark, sf_dir, "documents"), bits=None)
+    return lines.deduplicate(table(spark, sf_dir, "documents"), bits=10, few=24)
 
 
 OP8_SQL = """
