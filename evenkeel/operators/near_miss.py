@@ -20,6 +20,9 @@ MINORITY_ROWS = 50_000
 MINORITY_BYTES = 128 * 1024 * 1024
 # Majority rows that are compared at once.
 BLOCK_ROWS = 4096
+# Distances are taken tile by tile: so many points by so many others.
+TILE_POINTS = 512
+TILE_OTHERS = 2048
 # Beyond them the minority is dealt into cells around pivots: about this many rows to a cell, and at most so many pivots a dataset.
 ROWS_PER_CELL = 512
 PIVOTS = 64
@@ -30,14 +33,26 @@ SCALE = 1_000_000
 
 
 def selected_distances(points: np.ndarray, others: np.ndarray, k: int, farthest: bool) -> np.ndarray:
-    """The k smallest (or largest) Euclidean distances of every point to the others, one row per point."""
-    squared = (points**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2 * points @ others.T
-    distances = np.sqrt(np.maximum(squared, 0.0))
-    k = min(k, distances.shape[1])
-    if farthest:
-        distances = -distances
-    kept = np.partition(distances, k - 1, axis=1)[:, :k]
-    return -kept if farthest else kept
+    """The k smallest (or largest) Euclidean distances of every point to the others, one row per point.
+
+    Only one tile of the distances is held at a time, however many others there are; the best k so far are merged with each tile's.
+    """
+    k, sign = min(k, len(others)), -1.0 if farthest else 1.0
+    norms, best = (others**2).sum(1), np.empty((len(points), k))
+    for i in range(0, len(points), TILE_POINTS):
+        own = points[i : i + TILE_POINTS]
+        sizes, kept = (own**2).sum(1)[:, None], np.empty((len(own), 0))
+        for j in range(0, len(others), TILE_OTHERS):
+            part = others[j : j + TILE_OTHERS]
+            tile = sizes + norms[j : j + TILE_OTHERS][None, :] - 2 * own @ part.T
+            kept = _first_of(np.hstack([kept, _first_of(sign * np.maximum(tile, 0.0), k)]), k)
+        best[i : i + TILE_POINTS] = np.sqrt(sign * kept)
+    return best
+
+
+def _first_of(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest values of every row, in any order."""
+    return np.partition(rows, k - 1, axis=1)[:, :k] if k < rows.shape[1] else rows
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -259,6 +259,27 @@ def test_near_miss_by_pivots_equals_broadcast(spark, farthest, monkeypatch):
     assert "Generate" not in plan and sum("Exchange hashpartitioning(dataset_id" in line for line in plan.splitlines()) == 1
 
 
+@pytest.mark.parametrize("farthest", [False, True])
+def test_distances_are_taken_in_tiles_of_bounded_size(farthest):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    points, others = rng.normal(size=(1100, 5)), rng.normal(size=(16_000, 5))
+    for count, k in ((2, 3), (2049, 3), (5000, 2100)):  # fewer others than k, one more than a tile, k beyond a tile
+        exact = np.sort(near_miss.to_pivots(points[:700], others[:count]))
+        exact = exact[:, ::-1][:, :k] if farthest else exact[:, :k]
+        found = np.sort(near_miss.selected_distances(points[:700], others[:count], k, farthest))
+        assert np.allclose(found[:, ::-1] if farthest else found, exact)
+    tracemalloc.start()
+    near_miss.selected_distances(points, others, 3, farthest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # One matrix of all distances would take 140 MB, and several of them were held at once.
+    assert peak < 50_000_000
+
+
 @pytest.mark.parametrize("farthest", [False, True])
 def test_cells_out_of_reach_hold_no_partner(farthest):
     import numpy as np
