@@ -89,3 +89,21 @@ def test_bleu_tokens_split_punctuation(spark):
         ["say", '"', "hi", '"', "&", "go"],
         ["wordbreak"],
     ]
+
+
+def test_cheap_space_tests_equal_the_whole_class(spark):
+    import re
+
+    from evenkeel.constants import SPACE_CLASS, STOP_MARKS, STOP_PATTERN, WHITE_SPACE
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE_CLASS))
+    assert set(WHITE_SPACE) == {chr(c) for c in range(0xD800) if pattern.match(chr(c))} and re.split(STOP_PATTERN, "a".join(STOP_MARKS)) == ["", "a", ""]
+    samples = [f"{chr(c)}a{chr(c)}b {chr(c)}c{chr(c)} {chr(c)}" for c in [*range(1, 0x180), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010)]]
+    assert evaluate(spark, samples, txt.split_words) == [s.split() for s in samples]
+    assert evaluate(spark, samples, txt.joined_words) == [" ".join(s.split()) for s in samples]
+    assert evaluate(spark, samples, txt.strip_space) == [s.strip() for s in samples]
+    raw = ["\n\n<turn|>a", "a <turn|>b\n\nc", " a\n\nb<turn|>c", "<turn|", " \n", None]
+    assert evaluate(spark, raw, txt.clean_generation) == [None if r is None else re.split(STOP_PATTERN, r)[0].strip() for r in raw]
+    # Patterns over whole texts took most of the time of the queries on generated texts.
+    plan = spark.range(1).select(txt.clean_generation(F.concat("id", F.lit(""))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan
