@@ -108,5 +108,19 @@ def test_rows_of_a_key_are_not_gathered(spark):
     assert "BroadcastExchange" in plan and "partial_sum" in plan, plan
 
 
+def test_features_are_as_wide_as_their_distinct_slots(spark):
+    long = " ".join(f"w{i % 90}" for i in range(5000))
+    rows = spark.createDataFrame([(1, long), (2, "B\u2003a  b"), (3, " "), (4, None)], "row_id long, text string")
+    found = {r.row_id: r for r in logistic.featurise(rows, 16).collect()}
+    spread = spark.createDataFrame([(w,) for w in [*long.split(), "b", "a"]], "w string").select("w", logistic.hash_word(F.col("w")) % 16).distinct()
+    place = {r[0]: r[1] for r in spread.collect()}
+    for row, words in ((1, long.split()), (2, ["b", "a", "b"]), (3, []), (4, [])):
+        counts = np.bincount([place[w] for w in words], minlength=16)
+        slots = np.flatnonzero(counts)
+        # One entry per word made every step as long as the texts.
+        assert found[row].slots == slots.tolist()
+        assert np.allclose(found[row].amounts, counts[slots] / max(np.linalg.norm(counts), 1))
+
+
 def test_empty_input(spark):
     assert logistic.fit(spark.createDataFrame([], SCHEMA), slots=4, steps=2).collect() == []
