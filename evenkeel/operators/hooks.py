@@ -40,7 +40,7 @@ def batch_generator(
 
 
 def expression_generator(expression: Callable[[DataFrame], Column]) -> Generator:
-    """A deterministic generator from a column expression; it runs in the JVM."""
+    """A deterministic generator from a column expression."""
 
     def generate(samples: DataFrame) -> DataFrame:
         return samples.withColumn("text", clean_generation(expression(samples)))
