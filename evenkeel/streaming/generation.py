@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,21 +15,27 @@ from evenkeel.operators.hooks import Generator
 from evenkeel.sources.results import read_generation_log
 
 KEYS = ["dataset_id", "src_id"]
+SAMPLE_COLUMNS = ["dataset_id", "src_id", "text", "label"]
 SAMPLE_SCHEMA = "dataset_id string, src_id long, text string, label int"
+#: Groups of keys that share one state. A call of Python costs milliseconds, so it serves many keys; the number stays with a checkpoint.
+BUCKETS = 4096
 
 
-def first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first sample of a key that is neither logged nor seen before; later ones find its state."""
-    if state.exists:
-        return
-    first, logged = None, False
+def first_of_keys(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """For each ``key`` of a bucket its first sample, if the key is neither logged nor among the keys that the state has seen."""
+    seen = set(json.loads(state.get[0])) if state.exists else set()
+    first, logged = None, set()
     for part in parts:  # of a key with very many samples one row is kept
-        logged = logged or bool(part["logged"].any())
-        own = part[["dataset_id", "src_id", "text", "label"]]
-        first = (own if first is None else pd.concat([first, own])).sort_values(["text", "label"]).head(1)
-    state.update((True,))
-    if not logged:
-        yield first
+        logged.update(part["key"][part["logged"]])
+        own = part[~part["logged"] & ~part["key"].isin(seen)]
+        if len(own):
+            own = own if first is None else pd.concat([first, own])
+            first = own.sort_values(["text", "label"]).drop_duplicates("key")
+    known = seen | logged | (set() if first is None else set(first["key"]))
+    if len(known) > len(seen):
+        state.update((json.dumps(sorted(known)),))
+    if first is not None:
+        yield first.loc[~first["key"].isin(logged), SAMPLE_COLUMNS]
 
 
 def _logged_before(spark: SparkSession, log_path: str, checkpoint: str, pass_no: int) -> str:
@@ -70,7 +77,11 @@ def generate_stream(
     logged = spark.readStream.schema("dataset_id string, src_id long").parquet(seed)
     nothing = [F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("label"), F.lit(True).alias("logged")]
     both = samples.withColumn("logged", F.lit(False)).unionByName(logged.select(*KEYS, *nothing))
-    fresh = both.groupBy(*KEYS).applyInPandasWithState(first_of_key, SAMPLE_SCHEMA, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    # The id travels as text: beside a missing one pandas would make numbers with a fraction of it.
+    named = both.withColumns({"key": F.to_json(F.struct(*KEYS)), "bucket": F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)), "src_id": F.col("src_id").cast("string")})
+    schema = SAMPLE_SCHEMA.replace("src_id long", "src_id string")
+    fresh = named.groupBy("bucket").applyInPandasWithState(first_of_keys, schema, "keys string", "append", GroupStateTimeout.NoTimeout)
+    fresh = fresh.withColumn("src_id", F.col("src_id").cast("long"))
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         # The id of a query stays with its checkpoint, so another checkpoint's batches have other folders.

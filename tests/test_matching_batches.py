@@ -66,3 +66,22 @@ def test_distinct_tokens_are_those_of_the_columns(spark):
     expected = {r[0] for r in docs.select(F.explode(ws_tokens(F.col("text")))).collect()}
     found = [r[0] for r in t.distinct_tokens(docs).collect()]
     assert set(found) == expected and len(found) == len(expected)
+
+
+def test_keys_of_a_stream_share_few_calls_and_lose_nothing(spark, tmp_path, monkeypatch):
+    from evenkeel.operators import hooks
+    from evenkeel.sources.results import read_generation_log
+    from evenkeel.streaming import generation
+
+    monkeypatch.setattr(generation, "BUCKETS", 2)
+    source, log = str(tmp_path / "source"), str(tmp_path / "log")
+    large = 2**53 + 1
+    rows = [("a", large, "y", 1), ("a", large, "x", 1), ("a", large, "x", 0), ("a", None, "n", None), (None, 1, None, 2), ("b", large, "z", 3)]
+    rows += [("c", i, f"t{i}", i) for i in range(40)]
+    spark.createDataFrame(rows, generation.SAMPLE_SCHEMA).repartition(5).write.parquet(source)
+    echo = hooks.expression_generator(lambda df: F.col("text"))
+    for files in (5, 2):  # at once, then under a lost checkpoint: nothing twice
+        generation.generate_stream(spark, source, echo, log, str(tmp_path / f"checkpoint-{files}"), files_per_batch=files)
+        found = {(r.dataset_id, r.src_id, r.text, r.label) for r in read_generation_log(spark, log).collect()}
+        assert found == set(rows) - {("a", large, "y", 1), ("a", large, "x", 1)}
+        assert read_generation_log(spark, log).count() == len(found)
