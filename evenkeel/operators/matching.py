@@ -13,53 +13,71 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.workspace import fits_broadcast, settle, shuffle_partitions
+from evenkeel.operators.vector_files import VectorFiles, read_rows, write_index, write_vectors
+from evenkeel.workspace import measure, settle, spread_small, within_bounds
 
 # A vector table is sent to the Python workers only up to these measured sizes.
 VECTOR_ROWS = 200_000
 VECTOR_BYTES = 128 * 1024 * 1024
-# Beyond them the vectors that a batch of pairs needs are sent along with it. A batch ends when its texts have so many distinct tokens;
-# batches are dealt to so many times the shuffle partitions.
-BATCH_TOKENS = 200_000
-BATCHES = 4
+# Beyond them a task reads the vectors that its pairs need. It forgets what it knows when its texts have so many distinct tokens.
+BATCH_TOKENS = 80_000
+# Rows of an Arrow batch where scores are written down.
+TEXT_ROWS = 400
+# Pairs of a small input that stay together when it is dealt over the cores; those of one original mostly follow one another.
+DEALT_ROWS = 64
 # Rows and columns of one block of the similarity matrix.
 BLOCK = 2048
-# What a row of a batch is.
-TOKEN, REFERENCE, PAIR = range(3)
 
 
 class Vectors:
     """Token vectors in one flat buffer; ``places`` tells by a token's code where its vector lies, -1 for none."""
 
     def __init__(self, places: np.ndarray, rows: np.ndarray):
-        self.places, self.rows = places, rows
+        self.rows, self.norms, self.size = rows[:0], np.zeros(0), 0
+        self.add(rows)
+        self.with_places(places)
+
+    def add(self, rows: np.ndarray) -> None:
+        """Take further vectors in behind those at hand. The buffers grow by half and are used again after ``clear``."""
+        end = self.size + len(rows)
+        if end > len(self.rows):
+            room = max(end, len(self.rows) * 3 // 2)
+            self.rows, before = np.empty((room, rows.shape[1]), np.float32), self.rows[: self.size]
+            self.norms, norms = np.empty(room), self.norms[: self.size]
+            self.rows[: self.size], self.norms[: self.size] = before, norms
         norms = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
-        self.norms = np.where(norms > 0, norms, 1.0)
-        self.units = rows / self.norms[:, None].astype(np.float32)
-        self.present = np.zeros(len(places), bool)
+        self.rows[self.size : end], self.norms[self.size : end] = rows, np.where(norms > 0, norms, 1.0)
+        self.size = end
+
+    def clear(self) -> None:
+        self.size = 0
+        self.with_places(np.zeros(0, np.int64))
 
     def with_places(self, places: np.ndarray) -> Vectors:
         """The same vectors for tokens of other codes."""
         self.places, self.present = places, np.zeros(len(places), bool)
         return self
 
+    def units(self, at: np.ndarray) -> np.ndarray:
+        return self.rows[at] / self.norms[at, None].astype(np.float32)
+
     def best(self, ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         """Highest cosine of each of our vectors against theirs."""
         most, at = np.full(len(ours), -np.inf, np.float32), np.zeros(len(ours), np.int64)
         for j in range(0, len(theirs), BLOCK):
             part = theirs[j : j + BLOCK]
-            columns = self.units[part].T
+            columns = self.units(part).T
             for i in range(0, len(ours), BLOCK):
                 own = slice(i, i + BLOCK)
-                product = self.units[ours[own]] @ columns
+                product = self.units(ours[own]) @ columns
                 where = product.argmax(axis=1)
                 value = product[np.arange(len(where)), where]
                 better = value > most[own]
@@ -129,38 +147,25 @@ def _scored_schema(pairs: DataFrame, keep: Sequence[str]) -> T.StructType:
     return T.StructType([*(pairs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 
 
-def as_buffers(vectors: DataFrame) -> DataFrame:
-    """(token, vector) with the vector's 32-bit numbers as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("vector")
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * 4
-            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat, np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.Array.from_buffers(pa.binary(), len(column), buffers)], ["token", "vector"])
-
-    chosen = vectors.select("token", F.col("vector").cast("array<float>").alias("vector")).where("vector is not null")
-    return chosen.mapInArrow(run, "token string, vector binary")
-
-
-def _numbers(vectors: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors.to_pylist()), np.float32)
-
-
-def _matrix(numbers: np.ndarray, rows: int) -> np.ndarray:
-    return numbers.reshape(rows, -1) if rows else np.zeros((0, 1), np.float32)
+def _collected(places: DataFrame, folder: str, width: int) -> tuple[list[str], np.ndarray]:
+    """Tokens and vectors of a written table of proven small size."""
+    local = places.select("token", "file", "row").toArrow()
+    files, rows = local["file"].to_numpy(), local["row"].to_numpy()
+    matrix = np.zeros((len(rows), max(width, 1)), np.float32)
+    for file in np.unique(files):
+        at = np.flatnonzero(files == file)
+        at = at[np.argsort(rows[at])]
+        matrix[at] = read_rows(f"{folder}/{file}", rows[at], width)
+    return local["token"].to_pylist(), matrix
 
 
-def score_by_broadcast(pairs: DataFrame, vectors: DataFrame, hypothesis: str, reference: str, keep: Sequence[str]) -> DataFrame:
+def score_by_broadcast(pairs: DataFrame, vectors: tuple[list[str], np.ndarray], hypothesis: str, reference: str, keep: Sequence[str]) -> DataFrame:
     """Map-only: every task holds the vector table of proven small size."""
-    local = vectors.toArrow()
-    shared = pairs.sparkSession.sparkContext.broadcast((local["token"].to_pylist(), _numbers(local["vector"])))
+    shared = pairs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, numbers = shared.value
-        place, table = {token: i for i, token in enumerate(tokens)}, Vectors(np.zeros(0, np.int64), _matrix(numbers, len(tokens)))
+        tokens, rows = shared.value
+        place, table = {token: i for i, token in enumerate(tokens)}, Vectors(np.zeros(0, np.int64), rows)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -175,135 +180,98 @@ def score_by_broadcast(pairs: DataFrame, vectors: DataFrame, hypothesis: str, re
     return _with_texts(pairs, hypothesis, reference, keep).mapInArrow(run, _scored_schema(pairs, keep))
 
 
-def coded_batches(pairs: DataFrame, hypothesis: str, reference: str, keep: Sequence[str]) -> DataFrame:
-    """The pairs in batches of bounded vocabulary, their texts as codes: rows of ``_batch`` of three kinds.
+def compared(coded: Sequence[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """By code, whether a token occurs in a pair whose texts differ in their tokens; no other token's vector is looked at."""
+    needed = np.zeros(size, bool)
+    for ours, theirs in coded:
+        if ours.size and theirs.size and (ours.shape != theirs.shape or not np.array_equal(np.sort(ours[0]), np.sort(theirs[0]))):
+            needed[ours[0]] = True
+            needed[theirs[0]] = True
+    return needed
 
-    A TOKEN that the batch compares has its code in ``_at``. A REFERENCE has its number in the batch there; its codes serve the pairs that
-    follow one another with this text. A PAIR has the number of its reference, the codes of its hypothesis and its kept columns.
+
+def score_by_files(pairs: DataFrame, files: VectorFiles, hypothesis: str, reference: str, keep: Sequence[str]) -> DataFrame:
+    """For a written vector table of any size. Map-only: texts and codes stay in their task, which reads the vectors it needs.
+    Only an input that is too small for all cores as it lies is dealt out first.
+
+    A task holds the vectors of at most ``BATCH_TOKENS`` distinct tokens and those of one pair; it reads each of them once.
+    Rows of ``_batch`` hold the scored pairs that were worked on together.
     """
-    own = T.StructType([pairs.schema[c] for c in keep])
-    fields = [("_batch", T.LongType()), ("_kind", T.IntegerType()), ("_at", T.IntegerType()), ("token", T.StringType()), ("_codes", T.BinaryType())]
-    schema = T.StructType([*(T.StructField(n, t) for n, t in fields), T.StructField("_pair", own)])
+    schema = T.StructType([T.StructField("_batch", T.ArrayType(_scored_schema(pairs, keep)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 32
-        codes, last, theirs, number, compared = new_codes(), None, None, -1, []
-        kept = None
-
-        def rows(kind: int, names, at, token=None, data=None, pair=None) -> pa.RecordBatch:
-            n = len(at)
-            columns = [
-                pa.array(names, pa.int64()) if isinstance(names, list) else pa.array(np.full(n, names, np.int64)),
-                pa.array(np.full(n, kind, np.int32)),
-                pa.array(at, pa.int32()),
-                pa.array(token, pa.string()) if token is not None else pa.nulls(n, pa.string()),
-                pa.array(data, pa.binary()) if data is not None else pa.nulls(n, pa.binary()),
-                pair if pair is not None else pa.nulls(n, kept),
-            ]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
-
-        def tokens() -> pa.RecordBatch:
-            needed = np.zeros(len(codes), bool)
-            for part in compared:
-                needed[part] = True
-            chosen = [(token, code) for token, code in codes.items() if needed[code]]
-            return rows(TOKEN, name, [code for _, code in chosen], token=[token for token, _ in chosen])
+        codes, asked, table = new_codes(), np.zeros(0, bool), Vectors(np.zeros(0, np.int64), np.zeros((0, max(files.width, 1)), np.float32))
+
+        def scored(coded: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            nonlocal asked
+            old, new = len(asked), compared(coded, len(codes))
+            places = np.concatenate([table.places, np.full(len(codes) - old, -1, np.int64)])
+            new[:old] &= ~asked
+            at = np.flatnonzero(new)
+            if len(at):
+                tokens = list(islice(codes, int(at[-1]) + 1))
+                found, values = files.read([tokens[i] for i in at.tolist()])
+                places[at[found]] = np.arange(table.size, table.size + len(found))
+                table.add(values)
+            new[:old] |= asked
+            asked = new
+            table.with_places(places)
+            return np.array([table.score(*both) for both in coded])
+
+        def answer(part: pa.Array, coded: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            rows = pa.StructArray.from_arrays([*part.flatten(), pa.array(scored(coded))], fields=fields)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["_batch"])
 
         for batch in batches:
-            kept = batch.column("_pair").type
-            references, own_rows = ([], [], []), ([], [], [])
-            for ours, text in zip(batch.column("_ours").to_pylist(), batch.column("_theirs").to_pylist()):
+            whole, last, theirs, coded, start = batch.column("_pair"), None, None, [], 0
+            fields = [*(whole.type.field(i) for i in range(whole.type.num_fields)), pa.field("score", pa.float64())]
+            for i, (own, text) in enumerate(zip(batch.column("_ours").to_pylist(), batch.column("_theirs").to_pylist())):
+                if len(codes) >= BATCH_TOKENS:
+                    if coded:
+                        yield answer(whole.slice(start, i - start), coded)
+                    codes, asked = new_codes(), np.zeros(0, bool)
+                    table.clear()
+                    theirs, coded, start = None, [], i
                 if theirs is None or text != last:
-                    if len(codes) >= BATCH_TOKENS:
-                        yield tokens()
-                        codes, compared, number, name = new_codes(), [], -1, name + 1
-                    last, (theirs, near), number = text, counted(text, codes), number + 1
-                    for part, value in zip(references, (name, number, theirs.tobytes())):
-                        part.append(value)
-                    told = False
-                mine, _ = counted(ours, codes, near)
-                if mine.size and theirs.size and (mine.shape != theirs.shape or not np.array_equal(np.sort(mine[0]), np.sort(theirs[0]))):
-                    compared.append(mine[0])
-                    if not told:
-                        compared.append(theirs[0])
-                        told = True
-                for part, value in zip(own_rows, (name, number, mine.tobytes())):
-                    part.append(value)
-            if batch.num_rows:
-                yield rows(REFERENCE, references[0], references[1], data=references[2])
-                yield rows(PAIR, own_rows[0], own_rows[1], data=own_rows[2], pair=batch.column("_pair"))
-        if codes:
-            yield tokens()
-
-    return _with_texts(pairs, hypothesis, reference, keep).mapInArrow(run, schema)
-
-
-def score_by_batches(pairs: DataFrame, vectors: DataFrame, hypothesis: str, reference: str, keep: Sequence[str]) -> DataFrame:
-    """For a settled vector table of any size.
-
-    Pairs are written down in batches as they lie, with codes in place of their texts. The distinct tokens that a batch has to compare are
-    joined to their vectors once for the batch (no token has more rows there than there are batches) and are sorted in front of its pairs.
-    A task holds the vectors and the references of one batch; pairs stream past them.
-    """
-    number = shuffle_partitions(pairs.sparkSession)
-    coded = settle(coded_batches(pairs, hypothesis, reference, keep), "coded-pairs")
-    sent = coded.where(F.col("_kind") == TOKEN).select("_batch", "_kind", "_at", "token").join(vectors, "token")
-    front = sent.select("_batch", "_kind", "_at", F.col("vector").alias("_codes"), F.lit(None).cast(coded.schema["_pair"].dataType).alias("_pair"))
-    rest = coded.where(F.col("_kind") > TOKEN).select("_batch", "_kind", "_at", "_codes", "_pair")
-    dealt = front.unionByName(rest).repartition(number * BATCHES, "_batch").sortWithinPartitions("_batch", "_kind")
+                    last, (theirs, near) = text, counted(text, codes)
+                coded.append((counted(own, codes, near)[0], theirs))
+            if coded:
+                yield answer(whole.slice(start), coded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, places, parts, references, table = None, [], [], {}, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column("_batch").to_numpy() * 3 + batch.column("_kind").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for start, end in zip(cuts, cuts[1:]):
-                part = batch.slice(start, end - start)
-                current, kind = divmod(int(group[start]), 3)
-                if current != name:
-                    name, places, parts, references, table = current, [], [], {}, None
-                if kind == TOKEN:
-                    places.append(part.column("_at").to_numpy())
-                    parts.append(_numbers(part.column("_codes")))
-                    continue
-                texts = [np.frombuffer(x, np.int32).reshape(2, -1) for x in part.column("_codes").to_pylist()]
-                at = part.column("_at").to_pylist()
-                if kind == REFERENCE:
-                    references.update(zip(at, texts))
-                    continue
-                if table is None:
-                    known = np.concatenate(places) if places else np.zeros(0, np.int32)
-                    table = Vectors(np.zeros(0, np.int64), _matrix(np.concatenate(parts) if parts else np.zeros(0, np.float32), len(known)))
-                    parts = []
-                # Codes of all the texts at hand; those that have no vector, or are compared with nothing, have no place.
-                most = max((int(x[0].max()) for x in [*texts, *(references[i] for i in set(at))] if x.size), default=-1)
-                if max(most, int(known.max(initial=-1))) >= len(table.places):
-                    spots = np.full(max(most, int(known.max(initial=-1))) + 1, -1, np.int64)
-                    spots[known] = np.arange(len(known))
-                    table.with_places(spots)
-                yield _answer(part.column("_pair"), np.array([table.score(x, references[i]) for x, i in zip(texts, at)]))
-
-    return dealt.mapInArrow(run, _scored_schema(pairs, keep))
+    texts = _with_texts(pairs, hypothesis, reference, keep).withColumn("_batch", F.expr(f"monotonically_increasing_id() div {DEALT_ROWS}"))
+    # Nothing is known of the parts of rows that come from no file.
+    dealt = spread_small(texts, "_batch") if texts.inputFiles() else texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "_batch")
+    return dealt.drop("_batch").mapInArrow(run, schema)
 
 
 def matcher(vectors: DataFrame, max_rows: int = VECTOR_ROWS, keep: Sequence[str] | None = None):
     """A pair scorer over ``vectors`` (token string, vector array<float>), one row per token. A null vector is none.
 
-    It adds ``score`` to pairs. A vector table of proven small size goes to the workers and the texts are not
-    shuffled at all. Of a larger one every batch of pairs gets the vectors it needs. With ``keep`` the pairs come back with these columns
-    only, and texts that nobody asks for are not sent along.
+    It adds ``score`` to pairs. The vectors are written to files. A table of proven small size goes to the workers; of a larger one every task
+    reads what its pairs need. Texts and codes are not shuffled at all. With ``keep`` the pairs come back with these columns only. If these are
+    without texts, the scores of a larger table are written down, so the texts are gone through once and are not sent along.
     """
-    vectors = settle(as_buffers(vectors), "vectors")
-    fits = fits_broadcast(vectors, max_rows, VECTOR_BYTES)
+    places, folder = write_vectors(vectors)
+    rows, size, least, width = measure(places, F.min("width"), F.max("width"))
+    if least != width:
+        raise ValueError(f"vectors of {least} and of {width} numbers")
+    fits = within_bounds(rows, size + 4 * rows * (width or 0), max_rows, VECTOR_BYTES)
+    if fits:
+        known = _collected(places, folder, width or 0)
+    else:
+        known = write_index(places, rows, folder, width)
 
     def score(
         pairs: DataFrame, pair_id: Sequence[str] = (), hypothesis: str = "paraphrase", reference: str = "original"
     ) -> DataFrame:
         pairs = pairs.drop("score")
-        by = score_by_broadcast if fits else score_by_batches
-        return by(pairs, vectors, hypothesis, reference, pairs.columns if keep is None else list(keep))
+        kept = pairs.columns if keep is None else list(keep)
+        if fits:
+            return score_by_broadcast(pairs, known, hypothesis, reference, kept)
+        scored = score_by_files(pairs, known, hypothesis, reference, kept)
+        if hypothesis not in kept and reference not in kept:
+            scored = settle(scored, "scored-pairs", TEXT_ROWS)
+        return scored.select(F.inline("_batch"))
 
     return score
 
