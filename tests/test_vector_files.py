@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from evenkeel.operators import matching, vector_files
+from evenkeel.operators import matching, quality, vector_files
 from evenkeel.workspace import new_path
 
 PAIR = ["dataset_id", "src_id", "pass"]
@@ -82,3 +82,11 @@ def test_matching_of_many_tokens_writes_vectors_and_scores_only(spark, table, lo
     scored = matching.greedy_match_f1(long_pairs, table, PAIR, max_rows=3, keep=PAIR)
     assert written(spark) - before < 80_000  # 751,934 with the codes of the pairs
     assert {tuple(r[:3]): r.score for r in scored.collect()} == pytest.approx(whole, abs=1e-6) and len(whole) == 1200
+
+
+def test_acceptance_of_many_tokens_writes_vectors_and_scores_only(spark, table, long_pairs):
+    before = written(spark)
+    scored = matching.greedy_match_f1(long_pairs, table, PAIR, max_rows=3, keep=["dataset_id", "pass"])
+    out = quality.acceptance_per_pass(scored, threshold=0.0).collect()
+    assert written(spark) - before < 80_000  # 744,767 with the codes of the pairs
+    assert sorted((r.dataset_id, r["pass"], r.n_total, r.n_accepted) for r in out) == [(d, no, 300, 300) for d in ("d0", "d1") for no in (0, 1)]
