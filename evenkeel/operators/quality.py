@@ -13,6 +13,9 @@ from evenkeel.operators.bleu import bleu_of_counts, ngram_counts
 from evenkeel.operators.ranking import row_positions
 from evenkeel.workspace import settle
 
+# Rows of an Arrow batch while texts are scored and counted; three Python workers can stand in a row there.
+TEXT_ROWS = 400
+
 
 def pair_by_position(
     paraphrases: DataFrame,
@@ -85,7 +88,7 @@ def pass_quality(
     keys = list(keys)
     accepted = F.col("score") >= threshold
     texts = [F.when(accepted, F.col(c)).alias(c) for c in ("paraphrase", "original")]
-    counts = settle(ngram_counts(scored.select(*keys, "score", *texts), [*keys, "score"]), "scored")
+    counts = settle(ngram_counts(scored.select(*keys, "score", *texts), [*keys, "score"]), "scored", TEXT_ROWS)
     bleu = bleu_of_counts(counts.where(accepted), keys)
     return acceptance_per_pass(counts, keys, threshold).join(bleu.select(*keys, "bleu"), keys)
 

@@ -90,3 +90,18 @@ def test_acceptance_of_many_tokens_writes_vectors_and_scores_only(spark, table,
     out = quality.acceptance_per_pass(scored, threshold=0.0).collect()
     assert written(spark) - before < 80_000  # 744,767 with the codes of the pairs
     assert sorted((r.dataset_id, r["pass"], r.n_total, r.n_accepted) for r in out) == [(d, no, 300, 300) for d in ("d0", "d1") for no in (0, 1)]
+
+
+def test_quality_of_many_tokens_writes_no_texts(spark, table, long_pairs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = spark.conf.get(name)
+    few = quality.pass_quality(matching.greedy_match_f1(long_pairs, table, PAIR), PAIR, threshold=0.0)
+    before = written(spark)
+    many = quality.pass_quality(matching.greedy_match_f1(long_pairs, table, PAIR, max_rows=3), PAIR, threshold=0.0)
+    assert written(spark) - before < 160_000  # 1,406,564 with texts and codes
+    assert spark.conf.get(name) == size
+
+    def rows(df):
+        return sorted((r.dataset_id, r["pass"], r.n_total, r.n_accepted, round(r.mean_score, 6), round(r.bleu, 6)) for r in df.collect())
+
+    assert rows(many) == rows(few) and len(rows(many)) == 4
